@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quern.llm import bpe, exact_dedup, warc
+from quern.llm import bpe, exact_dedup, licences, toxicity, warc
 from quern.llm.common import read_table
 
 
@@ -32,6 +32,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", "spans")
+
+
+def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -50,6 +60,8 @@ FROM (SELECT page_id, payload,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_content_sort": op3_content_sort,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_crf_toxicity": op7_crf_toxicity,
+    "op8_license_diagonals": op8_license_diagonals,
     "op10_warc_normalise": op10_warc_normalise,
 }
 
