@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quern.llm import bpe, exact_dedup, licences, toxicity, warc
+from quern.llm import bpe, decontaminate, exact_dedup, licences, toxicity, warc
 from quern.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.scan(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +63,7 @@ FROM (SELECT page_id, payload,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_content_sort": op3_content_sort,
+    "op4_template_windows": op4_template_windows,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_crf_toxicity": op7_crf_toxicity,
     "op8_license_diagonals": op8_license_diagonals,
