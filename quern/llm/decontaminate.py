@@ -55,9 +55,11 @@ def windows(rows: DataFrame, keys: list[str], w: int) -> DataFrame:
 
     Every word is hashed once, and a window hashes the hashes of its words.
     """
-    codes = rows.select(*keys, F.transform("words", lambda x: F.xxhash64(template(x))).alias("codes")).where(F.size("codes") >= w)
+    codes = rows.select(*keys, F.transform("words", lambda x: F.xxhash64(template(x))).alias("codes"))
     at = lambda i, j: F.get("codes", i + j)
-    hashes = F.transform(F.sequence(F.lit(0), F.size("codes") - w), lambda i: F.xxhash64(*(at(i, j) for j in range(w))))
+    # Null where there are too few words, which gives no row; a filter would hash the words twice.
+    starts = F.when(F.size("codes") >= w, F.sequence(F.lit(0), F.size("codes") - w))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*(at(i, j) for j in range(w))))
     return codes.select(*keys, F.posexplode(hashes).alias("place", "hash"))
 
 
@@ -101,8 +103,9 @@ def consistent(item_words: Column, doc_words: Column, hits: Column) -> Column:
         F.flatten(F.transform(hits, lambda h: F.transform(F.sequence(F.lit(0), h["w"] - 1), lambda j: F.struct(F.get(item_words, h["at"] + j).alias("a"), F.get(doc_words, h["at"] + h["diagonal"] + j).alias("b")))))
     )
     slots = F.filter(aligned, lambda p: is_slot(p["a"]))
-    values = F.size(F.array_distinct(F.transform(slots, lambda p: p["a"])))
-    return F.when(F.size(slots) == 0, F.lit(1.0)).otherwise(values / F.size(slots))
+    # Distinct pairs of which no earlier pair has the same item value.
+    count = F.aggregate(slots, F.struct(F.array().cast("array<string>").alias("values"), F.lit(0).alias("pairs")), lambda s, p: F.struct(F.array_union(s["values"], F.array(p["a"])).alias("values"), (s["pairs"] + 1).alias("pairs")), lambda s: F.when(s["pairs"] == 0, F.lit(1.0)).otherwise(F.size(s["values"]) / s["pairs"]))
+    return count
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -122,7 +125,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     by_doc = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "item_words", "share", "hits")).alias("found"))
     by_doc = by_doc.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "found")
     joined = text.join(by_doc, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
-    own = F.when(F.col("found").isNotNull(), words(F.col("text")))
+    # A column that is used more than once is computed once, not again for every slot.
+    joined = joined.withColumn("own", F.when(F.col("found").isNotNull(), words(F.col("text"))))
     checked = joined.select(
         "doc_id",
         F.transform(
@@ -132,7 +136,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 F.array_min(F.transform(c["hits"], lambda h: h["at"] + h["diagonal"])).cast("bigint").alias("first_word"),
                 F.array_max(F.transform(c["hits"], lambda h: h["at"] + h["diagonal"] + h["w"] - 1)).cast("bigint").alias("last_word"),
                 c["share"].alias("share"),
-                consistent(c["item_words"], own, c["hits"]).alias("consistency"),
+                F.when(F.size("own") > 0, consistent(c["item_words"], F.col("own"), c["hits"])).alias("consistency"),
             ),
         ).alias("leaks"),
         *["row"] * carry,
