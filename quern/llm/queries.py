@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quern.llm import bpe, decontaminate, exact_dedup, licences, toxicity, warc
+from quern.llm import bpe, decontaminate, exact_dedup, licences, ngram_join, toxicity, warc
 from quern.llm.common import read_table
 
 
@@ -46,6 +46,10 @@ def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op7_crf_toxicity": op7_crf_toxicity,
     "op8_license_diagonals": op8_license_diagonals,
+    "op9_prefix_trie": op9_prefix_trie,
     "op10_warc_normalise": op10_warc_normalise,
 }
 
