@@ -25,7 +25,7 @@ from quern.llm import textcode
 from quern.llm.common import keyed_text
 
 #: At most this many labelled rows of each class are fitted, of at most this many characters.
-TRAIN_ROWS, TRAIN_CHARS = 2000, 30_000
+TRAIN_ROWS, TRAIN_CHARS = 1500, 20_000
 #: Lengths in bytes of the word beginnings that serve as features beside the word.
 PREFIXES = (4, 5)
 #: A cover feature explains at least so many toxic documents, with at least this precision.
