@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quern.llm import bpe, decontaminate, exact_dedup, licences, ngram_join, toxicity, warc
+from quern.llm import bpe, decontaminate, exact_dedup, licences, ngram_join, ngram_lm, toxicity, warc
 from quern.llm.common import read_table
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(read_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ FROM (SELECT page_id, payload,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_content_sort": op3_content_sort,
     "op4_template_windows": op4_template_windows,
     "op5_byte_bpe": op5_byte_bpe,
