@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quern.llm import bpe, decontaminate, exact_dedup, licences, ngram_join, ngram_lm, toxicity, warc
+from quern.llm import bpe, decontaminate, exact_dedup, licences, ngram_join, ngram_lm, toxicity, warc, wrappers
 from quern.llm.common import read_table
 
 
+def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(read_table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ FROM (SELECT page_id, payload,
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_wrapper_induction": op1_wrapper_induction,
     "op2_deleted_interpolation": op2_deleted_interpolation,
     "op3_content_sort": op3_content_sort,
     "op4_template_windows": op4_template_windows,
