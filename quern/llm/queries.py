@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quern.llm import bpe, decontaminate, exact_dedup, licences, ngram_join, ngram_lm, toxicity, warc, wrappers
+from quern.llm import bpe, decontaminate, exact_dedup, licences, ngram_join, ngram_lm, suffix_dedup, toxicity, warc, wrappers
 from quern.llm.common import read_table
 
 
@@ -44,6 +44,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_content_sort": op3_content_sort,
     "op4_template_windows": op4_template_windows,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_two_stage_suffixes": op6_two_stage_suffixes,
     "op7_crf_toxicity": op7_crf_toxicity,
     "op8_license_diagonals": op8_license_diagonals,
     "op9_prefix_trie": op9_prefix_trie,
