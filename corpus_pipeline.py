@@ -1,10 +1,65 @@
-"""The corpus pipeline: stages applied to documents one after another."""
+"""The corpus pipeline: five stages over documents, each reading all that the one before kept.
+
+Each stage is written as Parquet and read again by the next, so a lost executor
+costs the tasks it was running and no more. All but the last return the columns
+of documents; the last returns what the tokenizer made of the texts that stay.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import bpe, decontaminate, exact_dedup, ngram_join, toxicity
+from quern.llm.common import read_table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the conditional random field rejects go; it is fitted on labelled rows of ``docs``."""
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, carry=True).where("predicted = 0").select("row.*")
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their 5-word shingles the one with the smallest doc_id stays."""
+    linked = ngram_join.join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__linked")).distinct()
+    return docs.join(linked, F.col("doc_id") == F.col("__linked"), "left_anti")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or one with other values in its slots, go."""
+    return decontaminate.scan(docs, read_table(spark, sf_dir, "benchmark"), carry=True).where("NOT contaminated").select("row.*")
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and of the decoded bytes."""
+    import public_tokenizers
+
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("byte_bpe", tokenize),
+]
+
+#: The toxicity model and the tokenizer can't be written in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a data folder."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

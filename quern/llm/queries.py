@@ -88,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_diagonals": op8_license_diagonals,
     "op9_prefix_trie": op9_prefix_trie,
     "op10_warc_normalise": op10_warc_normalise,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
