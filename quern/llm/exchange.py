@@ -4,8 +4,8 @@ A corpus of n words has about n distinct 5-grams, and a shuffle row for each
 would be many times the input. Here the texts are dealt to batches of bounded
 size by a hash of the row; each batch reduces its keys to distinct ones with
 counts (so a key of a third of all texts is sent once by each batch, never once
-for each text), and sends them as packed arrays, five bytes a key, to the
-partition of their leading bits. That partition adds up the counts and tells
+for each text), and sends them as packed arrays, about five bytes a key and its
+count, to the partition of their leading bits. That partition adds up the counts and tells
 each batch the totals of those keys that other batches have too; of all other
 keys the batch knows the total already.
 
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from quern.llm.common import keyed_text
 
 #: Bytes of text in a batch; what a task holds is a small multiple of it, or of the longest text.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 _U = np.uint64
-KEY_BITS = 40
+#: Bits of a key that are sent and compared, those that choose the partition included.
+KEY_BITS = 48
 
 
 def batched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
@@ -43,19 +44,29 @@ def part_bits(batches: int) -> int:
     return max(3, math.ceil(math.log2(batches)))
 
 
-def shorten(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Leading ``bits`` and KEY_BITS bits of 64-bit keys: what is sent and compared."""
-    return keys >> _U(64 - bits - KEY_BITS)
+def shorten(keys: np.ndarray) -> np.ndarray:
+    """Leading KEY_BITS bits of 64-bit keys."""
+    return keys >> _U(64 - KEY_BITS)
+
+
+def _least(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; the first byte tells how many."""
+    top = int(values.max()) if len(values) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64)
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    low = (keys & _U(0xFFFFFFFF)).astype("<u4").tobytes()
-    return low + ((keys >> _U(32)) & _U(0xFF)).astype(np.uint8).tobytes()
+    """Ascending keys as their differences."""
+    return _least(np.diff(keys, prepend=_U(0)))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | (np.frombuffer(data, np.uint8, n, n * 4).astype(np.uint64) << _U(32))
+    return np.cumsum(_numbers(data))
 
 
 def tell(batches: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
@@ -70,7 +81,8 @@ def tell(batches: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
     def send(table: pa.Table) -> pa.Table:
         batch = table.column("batch")[0].as_py()
         keys, counts = keys_of(table)
-        parts = keys >> _U(KEY_BITS)
+        parts = keys >> _U(KEY_BITS - bits)
+        keys = keys & _U((1 << (KEY_BITS - bits)) - 1)
         edges = np.flatnonzero(np.diff(parts)) + 1
         edges = np.concatenate([[0], edges, [len(keys)]]) if len(keys) else np.zeros(1, int)
         spans = list(zip(edges[:-1], edges[1:]))
@@ -79,7 +91,7 @@ def tell(batches: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
                 "part": pa.array([int(parts[a]) for a, _ in spans], pa.int64()),
                 "batch": pa.array([batch] * len(spans), pa.int64()),
                 "keys": pa.array([_pack(keys[a:b]) for a, b in spans], pa.binary()),
-                "counts": pa.array([counts[a:b].astype("<u4").tobytes() if counts[a:b].max() > 1 or counts[a:b].min() < 1 else b"" for a, b in spans], pa.binary()),
+                "counts": pa.array([_least(counts[a:b]) if counts[a:b].max() > 1 or counts[a:b].min() < 1 else b"" for a, b in spans], pa.binary()),
             }
         )
 
@@ -88,14 +100,14 @@ def tell(batches: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
         table = table.take(pa.array(np.argsort(batch, kind="stable")))
         batch = np.sort(batch, kind="stable")
         own = [_unpack(x.as_py()) for x in table.column("keys")]
-        counts = [np.frombuffer(c, "<u4") if c else np.ones(len(k), np.uint32) for k, c in zip(own, (x.as_py() for x in table.column("counts")))]
+        counts = [_numbers(c) if c else np.ones(len(k), np.uint64) for k, c in zip(own, (x.as_py() for x in table.column("counts")))]
         sizes = np.array([len(x) for x in own])
         keys, count = np.concatenate(own), np.concatenate(counts)
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         group = np.cumsum(first) - 1
-        sums = np.add.reduceat(count[order].astype(np.uint64), np.flatnonzero(first))
+        sums = np.add.reduceat(count[order], np.flatnonzero(first))
         several = np.bincount(group) > 1
         # The first batch with a count above 0 owns the key; within a key the order is by batch.
         has = count[order] > 0
@@ -114,7 +126,7 @@ def tell(batches: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
                 columns["batch"].append(b)
                 columns["part"].append(part)
                 columns["keys"].append(_pack(ordered[place]))
-                columns["totals"].append(np.minimum(sums[group[place]], 0xFFFFFFFF).astype("<u4").tobytes())
+                columns["totals"].append(_least(sums[group[place]]))
                 columns["owner"].append(np.packbits(owner[place]).tobytes())
             at += n
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -124,15 +136,15 @@ def tell(batches: DataFrame, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.
     return sent.groupBy("part").applyInArrow(total, "batch bigint, part bigint, keys binary, totals binary, owner binary")
 
 
-def told(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def told(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, totals, owner) of a batch's answers, keys ascending."""
     if not table.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     table = table.sort_by("part")
     keys, totals, owner = [], [], []
     for part, k, t, o in zip(*(table.column(x).to_pylist() for x in ("part", "keys", "totals", "owner"))):
-        keys.append(_unpack(k) | _U(part << KEY_BITS))
-        totals.append(np.frombuffer(t, "<u4").astype(np.int64))
+        keys.append(_unpack(k) | _U(part << (KEY_BITS - bits)))
+        totals.append(_numbers(t).astype(np.int64))
         owner.append(np.unpackbits(np.frombuffer(o, np.uint8))[: len(keys[-1])].astype(bool))
     return np.concatenate(keys), np.concatenate(totals), np.concatenate(owner)
 

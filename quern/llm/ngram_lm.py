@@ -69,8 +69,8 @@ def _keys(table: pa.Table, bits: int) -> tuple[np.ndarray, ...]:
     words, places = tokens(table.column("text").combine_chunks())
     held = held_out_ids(table.column("doc_id").to_pylist())
     train = np.repeat(~held, np.diff(places))
-    one = exchange.shorten(words, bits) & ~_U(1)
-    two = exchange.shorten(pair_keys(words, places), bits) | _U(1)
+    one = exchange.shorten(words) & ~_U(1)
+    two = exchange.shorten(pair_keys(words, places)) | _U(1)
     return one, two, places, held, train
 
 
@@ -89,7 +89,7 @@ def resolved(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         every, code = np.unique(np.concatenate([one, two]), return_inverse=True)
         local = np.bincount(code, np.concatenate([train, train]), len(every)).astype(np.int64)
         total, owner = local.copy(), local > 0
-        keys, totals, owned = exchange.told(answers)
+        keys, totals, owned = exchange.told(answers, bits)
         at = np.searchsorted(every, keys)
         total[at], owner[at] = totals, owned
         c1, c2 = code[: len(one)], code[len(one) :]

@@ -211,7 +211,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         _, texts = ordered(table)
-        keys = np.unique(exchange.shorten(windows(texts)[3], bits))
+        keys = np.unique(exchange.shorten(windows(texts)[3]))
         return keys, np.ones(len(keys), np.int64)
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -221,8 +221,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             batch = table.column("batch")[0].as_py()
             ids, texts = ordered(table)
             text, first, last, anchor, body = windows(texts)
-            short = exchange.shorten(anchor, bits)
-            told = exchange.told(answers)[0]
+            short = exchange.shorten(anchor)
+            told = exchange.told(answers, bits)[0]
             # Shared with another batch, or between documents of this one.
             names, code = np.unique(short, return_inverse=True)
             low, high = np.full(len(names), _NO_ID), np.full(len(names), -1)
