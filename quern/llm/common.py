@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, size: Column, limit: int) -> DataFrame:
+    """``df`` to be broadcast if the sum of ``size`` over its rows, counted first, is within ``limit`` bytes.
+
+    Beyond the limit the join that uses it shuffles as any other.
+    """
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text): extra columns go, a null text counts as empty."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
