@@ -33,7 +33,7 @@ N = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Sets in a block at most, n-grams in a block at most, and sets compared with a block in one task.
-BLOCK_SETS, BLOCK_GRAMS, QUERIES = 256, 300_000, 1024
+BLOCK_SETS, BLOCK_GRAMS, QUERIES = 1024, 400_000, 1024
 #: n-grams on one edge of a trie at most, so that a walk can stop inside a long tail.
 EDGE = 32
 _U = np.uint64
@@ -70,14 +70,14 @@ def shared_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         values, _ = gram_sets(table.column("text").combine_chunks())
-        return np.unique(exchange.shorten(values, bits), return_counts=True)
+        return np.unique(exchange.shorten(values), return_counts=True)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         values, places = gram_sets(table.column("text").combine_chunks()) if table.num_rows else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        short = exchange.shorten(values, bits)
+        short = exchange.shorten(values)
         keys, code, local = np.unique(short, return_inverse=True, return_counts=True)
         df = local.astype(np.int64)
-        told, totals, _ = exchange.told(answers)
+        told, totals, _ = exchange.told(answers, bits)
         df[np.searchsorted(keys, told)] = totals
         df = df[code] if len(values) else df
         shared = df > 1
@@ -95,24 +95,30 @@ def shared_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _blocks(reps: DataFrame) -> DataFrame:
-    """(block, doc_id, n, weight, grams): neighbours in the trie's order, cut into bounded blocks."""
+    """(block, doc_id, n, weight, grams): neighbours in the trie's order, cut into bounded blocks.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sets, size = TaskContext.get().partitionId() << 32, 0, 0
+    Blocks are cut along the whole order, not within partitions: each partition
+    adds up the cost of its sets, and what the partitions before it hold (one
+    row for each partition) is added to place its sets.
+    """
+    unit = BLOCK_GRAMS // BLOCK_SETS
+
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
-            blocks = []
-            for g in batch.column(3):
-                if sets and (sets == BLOCK_SETS or size + len(g) > BLOCK_GRAMS):
-                    block, sets, size = block + 1, 0, 0
-                sets, size = sets + 1, size + len(g)
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *batch.columns], ["block", "doc_id", "n", "weight", "grams"])
+            own = np.array([len(g) + unit for g in batch.column(3)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part)), pa.array(total + np.cumsum(own)), *batch.columns], ["part", "upto", "doc_id", "n", "weight", "grams"])
+            total += int(own.sum())
 
     head = [F.coalesce(F.try_element_at("grams", F.lit(-i)), F.lit(-1)).alias(f"h{i}") for i in range(1, 7)]
     keyed = reps.select("doc_id", "n", "weight", "grams", *head)
     order = [f"h{i}" for i in range(1, 7)] + ["doc_id"]
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.select("doc_id", "n", "weight", "grams").mapInArrow(cut, "block bigint, doc_id bigint, n bigint, weight bigint, grams array<bigint>")
+    placed = written(dealt.select("doc_id", "n", "weight", "grams").mapInArrow(cost, "part bigint, upto bigint, doc_id bigint, n bigint, weight bigint, grams array<bigint>"), "ngram-order")
+    sums = placed.groupBy("part").agg(F.max("upto").alias("cost"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("part", F.coalesce(F.sum("cost").over(before), F.lit(0)).alias("base"))
+    return placed.join(bases, "part").select(F.floor((F.col("base") + F.col("upto") - 1) / BLOCK_GRAMS).alias("block"), "doc_id", "n", "weight", "grams")
 
 
 class Trie:
