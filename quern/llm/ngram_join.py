@@ -202,7 +202,7 @@ class Trie:
             left = np.minimum(len(own) - np.searchsorted(own, self.last[nodes], "right"), self.longest[nodes])
             # 100 * o >= PERCENT * (size + other - o), at the smallest other set below.
             need = PERCENT * (size + self.least[nodes])
-            go = (left > 0) & ((100 + PERCENT) * (overlap + left) >= need)
+            go = (100 + PERCENT) * (overlap + left) >= need
             nodes, overlap = nodes[go], overlap[go]
             count = self.child_start[nodes + 1] - self.child_start[nodes]
             first = np.repeat(self.child_start[nodes] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(nodes) else np.zeros(0, int)

@@ -3,9 +3,9 @@
 P(w | h) = l2 * c(h w) / c(h) + l1 * c(w) / N + l0 / (V + 1)
 
 with weights (l2, l1, l0) for each bucket of the context's frequency c(h). The
-weights are learned by expectation-maximisation on held-out counts: each batch
-of training texts is held out in turn, its own counts deleted from the totals,
-so a weight says how far the counts of all other texts foretell a new text.
+weights are learned by expectation-maximisation on held-out counts: each
+training text is held out in turn, its own counts deleted from the totals, so a
+weight says how far the counts of all other texts foretell a new text.
 
 Counting is the corpus-wide exchange of ``exchange``: every word and word pair
 of every training text counts, and what is sent grows with the input. Each
@@ -74,6 +74,12 @@ def _keys(table: pa.Table, bits: int) -> tuple[np.ndarray, ...]:
     return one, two, places, held, train
 
 
+def _own_counts(codes: np.ndarray) -> np.ndarray:
+    """How often each value occurs, at each of its places."""
+    _, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    return counts[inverse]
+
+
 def resolved(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each batch: its texts with tokens resolved to training counts, and its share of all statistics."""
     batches, n = exchange.batched(docs, id_col, text_col)
@@ -94,14 +100,16 @@ def resolved(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         total[at], owner[at] = totals, owned
         c1, c2 = code[: len(one)], code[len(one) :]
         # The context's count: that of the token before; a start occurs once for each text.
-        deleted = total - local
+        # Counts of a token's own text, to be deleted from the totals while that text is held out.
+        text = np.repeat(np.arange(len(held)), np.diff(places)) * len(every)
+        rest1, rest2 = (total[c] - _own_counts(text + c) for c in (c1, c2))
         fits = train & (np.arange(len(one)) > 0)
         fits[places[:-1]] = False  # the first token of a text has no counted context
         where = np.flatnonzero(fits)
-        context = deleted[c1[where - 1]]
+        context = np.maximum(rest1[where - 1], 0)
         bucket = np.minimum(np.log2(context + 1).astype(int), BUCKETS - 1)
-        two_bin = _bin(deleted[c2[where]] / np.maximum(context, 1), BINS)
-        one_bin = _bin(deleted[c1[where]], 2 * BINS)
+        two_bin = _bin(rest2[where] / np.maximum(context, 1), BINS)
+        one_bin = _bin(rest1[where], 2 * BINS)
         codes, counts = np.unique((bucket * (BINS + 1) + two_bin) * (2 * BINS + 1) + one_bin, return_counts=True)
         uni = (every & _U(1)) == 0
         row = {
