@@ -36,6 +36,18 @@ _CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = _rng.integers(1, 1 << 63, 8, dtype=np.uint64) * _U(2) + _U(1)
 
 
+def _squeeze(values: np.ndarray | bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(values if isinstance(values, bytes) else values.tobytes(), 1)
+
+
+def _expand(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(data)
+
+
 def ordered(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
     """Ids and texts of a batch in an order that is the same each time; rows without an id come last."""
     ids = table.column("doc_id").combine_chunks().fill_null(_NO_ID).to_numpy().astype(np.int64)
@@ -248,18 +260,19 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 size = last[go] - first[go] + WIDTH
                 columns["part"].append(int(parts[piece[0]]))
                 columns["batch"].append(batch)
-                columns["rows"].append(text[go].astype("<u4").tobytes())
-                columns["starts"].append(first[go].astype("<u4").tobytes())
-                columns["sizes"].append(size.astype("<u2").tobytes())
-                columns["ids"].append(ids[text[go]].astype("<i8").tobytes())
-                columns["data"].append(b"\0".join([raw[p : p + s] for p, s in zip(begin.tolist(), size.tolist())]) + b"\0")
-                columns["gone"].append(np.column_stack([text[gone], first[gone], last[gone] + WIDTH]).astype("<u4").tobytes())
+                # Texts are in order here, so rows and ids go as differences.
+                columns["rows"].append(_squeeze(np.diff(text[go], prepend=0).astype("<u4")))
+                columns["starts"].append(_squeeze(first[go].astype("<u4")))
+                columns["sizes"].append(_squeeze(size.astype("<u2")))
+                columns["ids"].append(_squeeze(np.diff(ids[text[go]], prepend=0).astype("<i8")))
+                columns["data"].append(_squeeze(b"\0".join([raw[p : p + s] for p, s in zip(begin.tolist(), size.tolist())]) + b"\0"))
+                columns["gone"].append(_squeeze(np.column_stack([text[gone], first[gone], last[gone] + WIDTH]).astype("<u4")))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(columns.items(), kinds)})
 
     def resolve(table: pa.Table) -> pa.Table:
-        cells = {k: table.column(k).to_pylist() for k in ("batch", "rows", "starts", "sizes", "ids", "data", "gone")}
+        cells = {k: list(map(_expand, table.column(k).to_pylist())) for k in ("rows", "starts", "sizes", "ids", "data", "gone")}
         read = lambda k, kind: [np.frombuffer(x, kind).astype(np.int64) for x in cells[k]]
-        rows, starts, sizes, ids = read("rows", "<u4"), read("starts", "<u4"), read("sizes", "<u2"), read("ids", "<i8")
+        rows, starts, sizes, ids = list(map(np.cumsum, read("rows", "<u4"))), read("starts", "<u4"), read("sizes", "<u2"), list(map(np.cumsum, read("ids", "<i8")))
         of = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
         row, start, size, doc = (np.concatenate(x) for x in (rows, starts, sizes, ids))
         data = np.frombuffer(b"".join(x for x, r in zip(cells["data"], rows) if len(r)) + bytes(WIDTH + 8), np.uint8)
@@ -269,17 +282,18 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             stretch, window = repeats(data, at, size, doc)
             begin = np.flatnonzero(np.concatenate([[True], (np.diff(stretch) != 0) | (np.diff(window) != 1)])) if len(stretch) else stretch
             end = np.append(begin[1:], len(stretch)) - 1 if len(stretch) else stretch
+            bounds = np.searchsorted(of[stretch[begin]], np.arange(len(rows) + 1))
             for b in range(len(rows)):
-                mine = of[stretch[begin]] == b if len(begin) else np.zeros(0, bool)
+                mine = slice(bounds[b], bounds[b + 1])
                 s, lo, hi = stretch[begin[mine]], window[begin[mine]], window[end[mine]]
                 lost[b] = np.column_stack([row[s], start[s] + lo, start[s] + hi + WIDTH]).astype("<u4").tobytes() if len(s) else b""
-        return pa.table({"batch": pa.array(cells["batch"], pa.int64()), "gone": pa.array([(x or b"") + y for x, y in zip(lost, cells["gone"])], pa.binary())})
+        return pa.table({"batch": table.column("batch"), "gone": pa.array([_squeeze((x or b"") + y) for x, y in zip(lost, cells["gone"])], pa.binary())})
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         ids, texts = ordered(table)
         data, offsets = textcode.text_bytes(texts)
         mark = np.zeros(len(data) + 1, np.int32)
-        gone = np.frombuffer(b"".join(answers.column("gone").to_pylist()), "<u4").astype(np.int64).reshape(-1, 3) if answers.num_rows else np.zeros((0, 3), np.int64)
+        gone = np.frombuffer(b"".join(map(_expand, answers.column("gone").to_pylist())), "<u4").astype(np.int64).reshape(-1, 3) if answers.num_rows else np.zeros((0, 3), np.int64)
         np.add.at(mark, offsets[gone[:, 0]] + gone[:, 1], 1)
         np.add.at(mark, offsets[gone[:, 0]] + gone[:, 2], -1)
         drop = np.cumsum(mark[:-1]) > 0
