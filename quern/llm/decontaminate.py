@@ -127,21 +127,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     joined = text.join(by_doc, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
     # A column that is used more than once is computed once, not again for every slot.
     joined = joined.withColumn("own", F.when(F.col("found").isNotNull(), words(F.col("text"))))
-    checked = joined.select(
-        "doc_id",
-        F.transform(
-            "found",
-            lambda c: F.struct(
-                c["item_id"].alias("item_id"),
-                F.array_min(F.transform(c["hits"], lambda h: h["at"] + h["diagonal"])).cast("bigint").alias("first_word"),
-                F.array_max(F.transform(c["hits"], lambda h: h["at"] + h["diagonal"] + h["w"] - 1)).cast("bigint").alias("last_word"),
-                c["share"].alias("share"),
-                F.when(F.size("own") > 0, consistent(c["item_words"], F.col("own"), c["hits"])).alias("consistency"),
-            ),
-        ).alias("leaks"),
-        *["row"] * carry,
+    leaks = F.transform(
+        "found",
+        lambda c: F.struct(
+            c["item_id"].alias("item_id"),
+            F.array_min(F.transform(c["hits"], lambda h: h["at"] + h["diagonal"])).cast("bigint").alias("first_word"),
+            F.array_max(F.transform(c["hits"], lambda h: h["at"] + h["diagonal"] + h["w"] - 1)).cast("bigint").alias("last_word"),
+            c["share"].alias("share"),
+            F.when(F.size("own") > 0, consistent(c["item_words"], F.col("own"), c["hits"])).alias("consistency"),
+        ),
     )
-    leaks = F.coalesce(F.array_sort(F.filter("leaks", lambda x: x["consistency"] >= MIN_CONSISTENT)), F.array())
-    out = checked.withColumn("leaks", leaks)
+    leaks = F.coalesce(F.array_sort(F.filter(leaks, lambda x: x["consistency"] >= MIN_CONSISTENT)), F.array())
+    # Exploding the array of this one array keeps the rows as they are, and keeps
+    # the optimizer from copying the check into every condition put on its result.
+    out = joined.select("doc_id", *["row"] * carry, F.explode(F.array(leaks)).alias("leaks"))
     ids = F.array_distinct(F.transform("leaks", lambda x: x["item_id"]))
     return out.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size(ids).cast("bigint").alias("n_items"), ids.alias("item_ids"), "leaks", *["row"] * carry)
