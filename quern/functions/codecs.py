@@ -160,3 +160,24 @@ def joined_etag(etags: pd.Series) -> pd.Series:
         return f"{value:x}"
 
     return etags.map(one)
+
+
+def folder_option(text: Column) -> dict[str, Column]:
+    """Folder and most volumes of ``dir[:max]``, seven if it names none."""
+    most = F.regexp_extract(text, r":([0-9]{1,9})$", 1)
+    return {"folder": F.regexp_replace(text, r":[0-9]{1,9}$", ""), "most": F.coalesce(F.when(most != "", most).cast("bigint"), F.lit(7).cast("bigint"))}
+
+
+def content_range(start: Column, length: Column, total: Column) -> Column:
+    """Header of the half-open range from ``start``; its last byte is named inclusively."""
+    return F.concat(F.lit("bytes "), start.cast("string"), F.lit("-"), (start + length - 1).cast("string"), F.lit("/"), total.cast("string"))
+
+
+def etag_header(etag: Column) -> Column:
+    """An etag as a header has it, in quotes."""
+    return F.when(etag.startswith('"'), etag).otherwise(F.concat(F.lit('"'), etag, F.lit('"')))
+
+
+def etag_value(header: Column) -> Column:
+    """The etag inside a header, without quotes and the mark of a weak one."""
+    return F.regexp_replace(F.regexp_replace(header, '^W/', ""), '^"|"$', "")

@@ -143,3 +143,19 @@ def rebuild(shards: DataFrame) -> DataFrame:
         return pd.DataFrame({"key": int(pdf["key"].iloc[0]), "shard": range(TOTAL), "block": [b.tobytes() for b in every]})
 
     return shards.groupBy("key").applyInPandas(run, "key bigint, shard bigint, block binary")
+
+
+def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Fourteen rows for each wanted volume: the nodes (in order) that hold each shard, '' where none does."""
+    held = shards.groupBy("vid", "shard").agg(F.array_join(F.transform(F.array_sort(F.collect_set("node")), lambda n: n.cast("string")), ",").alias("nodes"))
+    every = wanted.select("vid").distinct().select("vid", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(TOTAL - 1).cast("bigint"))).alias("shard"))
+    return every.join(held, ["vid", "shard"], "left").withColumn("nodes", F.coalesce("nodes", F.lit("")))
+
+
+def read_plan(stretches: DataFrame, shards: DataFrame, node: int) -> DataFrame:
+    """Stretches (vid, shard, ...) with where to read them from a node: its own shard, another node's, or by rebuilding."""
+    held = shards.groupBy("vid", "shard").agg(F.bool_or(F.col("node") == node).alias("__own"), F.min("node").alias("__other"))
+    whole = shards.groupBy("vid").agg((F.countDistinct("shard") >= DATA).alias("__enough"))
+    at = stretches.join(held, ["vid", "shard"], "left").join(whole, "vid", "left")
+    plan = F.when(F.col("__own"), "local").when(F.col("__other").isNotNull(), "remote").when(F.col("__enough"), "rebuild").otherwise("lost")
+    return at.withColumn("plan", plan).withColumn("from_node", F.when(F.col("__own"), F.lit(node).cast("bigint")).otherwise(F.col("__other"))).drop("__own", "__other", "__enough")

@@ -120,3 +120,10 @@ def sorted_index(log: DataFrame) -> DataFrame:
     placed = append_offsets(log)
     newest = placed.groupBy("vid", "key").agg(F.max_by(F.struct("op", "offset", "size"), "seq").alias("x")).where("x.op = 'put'")
     return newest.select("vid", "key", "x.offset", "x.size").repartition("vid").sortWithinPartitions("vid", "key")
+
+
+def violations(placed: DataFrame, data_ends: DataFrame) -> DataFrame:
+    """Index rows (vid, key, offset, size) that reach beyond the end (vid, data_end) of their volume's data log, or whose volume has none."""
+    end = F.col("offset") + codecs.actual_size(F.greatest("size", F.lit(0)))
+    joined = placed.join(data_ends, "vid", "left")
+    return joined.where(F.col("data_end").isNull() | (end > F.col("data_end"))).select("vid", "key", "offset", "size")

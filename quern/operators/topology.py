@@ -86,3 +86,21 @@ def reserve(usage: DataFrame, draws: DataFrame) -> DataFrame:
 def heartbeat(volumes: DataFrame) -> DataFrame:
     """What each node reports: volumes, bytes and the largest key of those that haven't expired."""
     return volumes.where("NOT expired").groupBy("node").agg(F.count(F.lit(1)).alias("volumes"), F.sum("size").alias("bytes"), F.max("max_key").alias("max_key"))
+
+
+def freest(disks: DataFrame, by: list[str]) -> DataFrame:
+    """Of each group the disk with most free slots, the first of equals; none where all are full."""
+    return disks.where("free > 0").groupBy(*by).agg(F.max_by(F.struct("disk", "free"), F.struct("free", -F.col("disk"))).alias("x")).select(*by, "x.disk", "x.free")
+
+
+def held_volumes(replicas: DataFrame) -> DataFrame:
+    """Each node with the ids of the volumes it holds, in order."""
+    held = F.transform(F.array_sort(F.collect_set("vid")), lambda v: v.cast("string"))
+    return replicas.groupBy("node").agg(F.array_join(held, ",").alias("vids"))
+
+
+def numbered(requests: DataFrame, taken: DataFrame, by: str, order: str) -> DataFrame:
+    """Requests with new ids: from one above the largest taken id of their group, in the order of ``order``."""
+    top = taken.groupBy(by).agg(F.max("id").alias("__top"))
+    line = Window.partitionBy(by).orderBy(order)
+    return requests.join(top, by, "left").withColumn("id", F.coalesce("__top", F.lit(0)) + F.row_number().over(line)).drop("__top")

@@ -465,3 +465,62 @@ def session_liveness(spark, sf_dir):
     fresh = F.coalesce(F.col("us") - F.lag("us").over(line) > 1_800_000_000, F.lit(True)).cast("bigint")
     numbered = rows.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(line))
     return numbered.groupBy("node", "session").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("beats")).drop("session")
+
+
+# --- more lookups, ids and headers ---------------------------------------------------------------------------------
+
+_HELD = f"{ad.shards_sql('now')}, held AS (SELECT vid, shard, (vid + shard * 3) % 23 AS node FROM now UNION ALL SELECT vid, shard, (vid * 5 + shard) % 23 FROM now WHERE vid % 4 = 0)"
+
+
+def _held(spark, sf_dir):
+    rows = ad.shards(spark, sf_dir)
+    first = rows.select("vid", "shard", ((F.col("vid") + F.col("shard") * 3) % 23).alias("node"))
+    return first.unionByName(rows.where("vid % 4 = 0").select("vid", "shard", ((F.col("vid") * 5 + F.col("shard")) % 23).alias("node")))
+
+
+@query(f"WITH {_HELD}, known AS (SELECT vid, shard, array_to_string(list_sort(list_distinct(list(node))), ',') AS nodes FROM held GROUP BY ALL) SELECT w.vid, w.shard, coalesce(nodes, '') AS nodes FROM (SELECT DISTINCT o_custkey AS vid, unnest(range(0, 14)) AS shard FROM orders WHERE o_orderkey % 3 = 0) w LEFT JOIN known USING (vid, shard)")
+def ec_lookup(spark, sf_dir):
+    wanted = ad.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("vid"))
+    return erasure.lookup(_held(spark, sf_dir), wanted)
+
+
+@query(f"""WITH {_HELD}, best AS (SELECT vid, shard, bool_or(node = 7) AS own, min(node) AS other FROM held GROUP BY ALL), whole AS (SELECT vid, count(DISTINCT shard) >= 10 AS enough FROM held GROUP BY vid)
+SELECT o_orderkey AS request, CASE WHEN own THEN 'local' WHEN other IS NOT NULL THEN 'remote' WHEN enough THEN 'rebuild' ELSE 'lost' END AS plan, CASE WHEN own THEN 7 ELSE other END AS from_node
+FROM orders LEFT JOIN best b ON b.vid = o_custkey AND b.shard = o_orderkey % 10 LEFT JOIN whole w ON w.vid = o_custkey""")
+def ec_read_plan(spark, sf_dir):
+    asked = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), F.col("o_custkey").alias("vid"), (F.col("o_orderkey") % 10).alias("shard"))
+    return erasure.read_plan(asked, _held(spark, sf_dir), node=7).select("request", "plan", "from_node")
+
+
+@query(f"WITH {ad.REPLICAS} SELECT node, array_to_string(list_sort(list_distinct(list(vid))), ',') AS vids FROM replicas GROUP BY node")
+def node_volumes(spark, sf_dir):
+    return topology.held_volumes(ad.replicas(spark, sf_dir))
+
+
+@query(f"{USAGE} SELECT dc, rack, arg_max(node, free * 1000000 - node) AS disk, max(free) AS free FROM usage WHERE free > 0 GROUP BY dc, rack")
+def freest_disk(spark, sf_dir):
+    return topology.freest(_usage(spark, sf_dir).withColumnRenamed("node", "disk"), ["dc", "rack"])
+
+
+@query("SELECT o_orderkey AS request, o_custkey % 5 AS collection, coalesce(top, 0) + row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS id FROM orders LEFT JOIN (SELECT c_custkey % 5 AS g, max(c_custkey * 10) AS top FROM customer WHERE c_custkey % 5 <> 2 GROUP BY 1) ON g = o_custkey % 5 WHERE o_orderstatus = 'P'")
+def assigned_ids(spark, sf_dir):
+    asked = ad.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("request"), (F.col("o_custkey") % 5).alias("collection"))
+    taken = ad.table(spark, sf_dir, "customer").where("c_custkey % 5 <> 2").select((F.col("c_custkey") % 5).alias("collection"), (F.col("c_custkey") * 10).alias("id"))
+    return topology.numbered(asked, taken, "collection", "request")
+
+
+@query(f"{_SORTED}, ends AS (SELECT vid, 2000000 + vid * 1000 AS data_end FROM (SELECT DISTINCT vid FROM needle_log) WHERE vid % 5 <> 3) SELECT s.vid, s.key, data_offset, s.size FROM sorted s LEFT JOIN ends e USING (vid) WHERE data_end IS NULL OR data_offset + {_ACTUAL} > data_end")
+def index_violations(spark, sf_dir):
+    index = keylog.sorted_index(ad.needle_log(spark, sf_dir))
+    ends = ad.needle_log(spark, sf_dir).where("vid % 5 <> 3").select("vid").distinct().withColumn("data_end", F.col("vid") * 1000 + 2000000)
+    return keylog.violations(index, ends).withColumnRenamed("offset", "data_offset")
+
+
+@query("""SELECT p_partkey, '/d' || p_size AS folder, CAST(CASE WHEN p_size % 2 = 0 THEN p_size * 10 ELSE 7 END AS BIGINT) AS most,
+'bytes ' || p_size || '-' || (p_size + p_partkey % 9) || '/' || 1000 AS content_range, '"' || lower(to_hex(p_partkey)) || '"' AS etag_header, lower(to_hex(p_partkey)) AS etag FROM part""")
+def header_codecs(spark, sf_dir):
+    size, part = F.col("p_size").cast("bigint"), F.col("p_partkey")
+    option = codecs.folder_option(F.concat(F.lit("/d"), size.cast("string"), F.when(size % 2 == 0, F.concat(F.lit(":"), (size * 10).cast("string"))).otherwise("")))
+    header = codecs.etag_header(F.lower(F.hex(part)))
+    rows = ad.table(spark, sf_dir, "part")
+    return rows.select("p_partkey", option["folder"].alias("folder"), option["most"].alias("most"), codecs.content_range(size, part % 9 + 1, F.lit(1000)).alias("content_range"), header.alias("etag_header"), codecs.etag_value(F.concat(F.lit("W/"), header)).alias("etag"))
