@@ -62,6 +62,22 @@ def op9_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read_table(spark, sf_dir, "documents"))
 
 
+OP9_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+d AS (
+  SELECT DISTINCT doc_id, s
+  FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM t)),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+reach AS (SELECT DISTINCT a AS id, a AS c FROM links UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(c) FROM reach WHERE id = t.doc_id), t.doc_id) AS component_id, (SELECT count(*) FROM links WHERE a = t.doc_id) AS n_links
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id
+"""
+
+
 def op10_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -93,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_content_sort": OP3_SQL,
+    "op9_prefix_trie": OP9_SQL,
     "op10_warc_normalise": OP10_SQL,
 }
