@@ -13,6 +13,7 @@ scoring runs over every whole text as one narrow pass without a shuffle.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -262,9 +263,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {r["__toxic"]: r["count"] for r in own.groupBy("__toxic").count().collect()}
     order = [F.xxhash64("__label_id"), F.col("__label_id")]
     sample = own.where("__toxic = 1").orderBy(*order).limit(rows).unionAll(own.where("__toxic = 0").orderBy(*order).limit(rows))
-    found = keyed_text(docs, id_col, text_col).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), F.col("doc_id") == F.col("__label_id")).select("doc_id", "text", "__toxic").dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in found], [r["__toxic"] for r in found], totals.get(1, 0) / max(1, sum(totals.values())))
+    found = keyed_text(docs, id_col, text_col).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), F.col("doc_id") == F.col("__label_id")).select("doc_id", "text", "__toxic").dropDuplicates(["doc_id"])
+    share = totals.get(1, 0) / max(1, sum(totals.values()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns)))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows], share))]})
+
+    # The bounded sample meets in one task; only the fitted parameters come to the driver.
+    fitted = found.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted[0]) if fitted else None
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
