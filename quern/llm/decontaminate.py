@@ -2,7 +2,9 @@
 
 Numbers, names and units become typed placeholders, so that a question asked
 again with other values has the same template. Windows of template words are
-hash-joined to those of the benchmark; hits on one diagonal (place in the
+hash-joined to those of the benchmark, once as written and once in lower case,
+where a capital makes no name: so copies in other case hit too, with other
+numbers and units. Hits on one diagonal (place in the
 document less place in the item) or on near ones form a candidate. A candidate
 is a leak if enough of the item's windows hit and its slots are filled
 consistently: one value of the item always stands for one value of the document.
@@ -46,33 +48,55 @@ def template(word: Column) -> Column:
     return F.when(word.rlike(r"^[\p{Lu}0-9$€£]"), typed).when(F.lower(word).isin(UNITS), F.lit(UNIT)).otherwise(F.lower(word))
 
 
+def folded(word: Column) -> Column:
+    """The template of the word whatever its case: numbers and units are slots, names are literal."""
+    return template(F.lower(word))
+
+
+#: What is made of a word before windows are hashed.
+FORMS = (template, folded)
+
+
 def is_slot(word: Column) -> Column:
     return template(word).isin(NUMBER, NAME, UNIT)
 
 
 def windows(rows: DataFrame, keys: list[str], w: int) -> DataFrame:
-    """(keys, place, hash): a row for each run of ``w`` template words; places count from 0.
+    """(keys, place, form, hash): a row for each run of ``w`` words in each form; places count from 0.
 
-    Every word is hashed once, and a window hashes the hashes of its words.
+    Every word is hashed once in each form, and a window hashes the hashes of its words.
     """
-    codes = rows.select(*keys, F.transform("words", lambda x: F.xxhash64(template(x))).alias("codes"))
-    at = lambda i, j: F.get("codes", i + j)
+    hashed = lambda form: F.transform("words", lambda x: F.xxhash64(form(x)))
+    codes = rows.select(*keys, (F.size("words") - w + 1).alias("n"), *(hashed(form).alias(f"codes{k}") for k, form in enumerate(FORMS)))
+    at = lambda k, i: F.get(f"codes{k}", i)
     # Null where there are too few words, which gives no row; a filter would hash the words twice.
-    starts = F.when(F.size("codes") >= w, F.sequence(F.lit(0), F.size("codes") - w))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*(at(i, j) for j in range(w))))
-    return codes.select(*keys, F.posexplode(hashes).alias("place", "hash"))
+    starts = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))
+    hashes = lambda k: F.transform(starts, lambda i: F.xxhash64(*(at(k, i + j) for j in range(w))))
+    out = codes.select(*keys, "n", F.posexplode(F.concat(*(hashes(k) for k in range(len(FORMS))))).alias("at", "hash"))
+    return out.select(*keys, (F.col("at") % F.col("n")).alias("place"), F.floor(F.col("at") / F.col("n")).cast("int").alias("form"), "hash")
 
 
 def item_windows(items: DataFrame) -> dict[int, DataFrame]:
-    """Benchmark windows that say enough, by their length: (item_id, item_words, place, hash, total)."""
+    """Benchmark windows that say enough in their form, by their length: (item_id, item_words, place, hash, told, total, told_total).
+
+    ``total`` counts the places of an item that have a window, ``told_total``
+    those that have one as written, which are ``told``.
+    """
+    items = items.dropDuplicates(["item_id", "words"])
     lengths = [r[0] for r in items.where(F.size("words") > 0).select(F.least(F.size("words"), F.lit(WINDOW)).alias("w")).distinct().collect()]
     out = {}
     for w in lengths:
         own = items.where(F.least(F.size("words"), F.lit(WINDOW)) == w)
         own = windows(own.withColumn("item_words", F.col("words")), ["item_id", "item_words"], w)
-        literal = F.size(F.filter(F.slice("item_words", F.col("place") + 1, w), lambda x: ~is_slot(x)))
-        told = own.where(literal >= min(w, MIN_LITERAL))
-        out[w] = told.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("item_id", "item_words")))
+        run = F.slice("item_words", F.col("place") + 1, w)
+        literal = F.when(F.col("form") == 0, F.size(F.filter(run, lambda x: ~is_slot(x)))).otherwise(F.size(F.filter(run, lambda x: ~is_slot(F.lower(x)))))
+        own = own.where(literal >= min(w, MIN_LITERAL))
+        own = own.withColumn("told", (F.min("form").over(Window.partitionBy("item_id", "item_words", "place")) == 0))
+        item = Window.partitionBy("item_id", "item_words")
+        places = lambda which: F.size(F.collect_set(which).over(item))
+        own = own.withColumn("total", places(F.col("place"))).withColumn("told_total", places(F.when(F.col("told"), F.col("place"))))
+        # A window without capitals is the same in both forms.
+        out[w] = own.dropDuplicates(["item_id", "item_words", "place", "hash"])
     return out
 
 
@@ -80,27 +104,30 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, item_words, share, hits): items of which enough windows hit on near diagonals."""
     found = []
     for w, own in item_windows(items).items():
-        own = own.select("item_id", "item_words", "total", F.col("place").alias("at"), "hash")
+        own = own.select("item_id", "item_words", "total", "told_total", F.col("place").alias("at"), "told", "hash")
         side = F.broadcast(own) if own.count() <= MAX_WINDOWS else own
         hits = windows(docs, ["doc_id", "text_key"], w).join(side, "hash")
-        lines = hits.groupBy("doc_id", "text_key", "item_id", "item_words", "total", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("places"))
+        lines = hits.groupBy("doc_id", "text_key", "item_id", "item_words", "total", "told_total", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set(F.struct("at", "told")).alias("places"))
         found.append(lines.withColumn("w", F.lit(w)))
     if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, text_key bigint, item_id bigint, item_words array<string>, share double, hits array<struct<at:int,diagonal:int,w:int>>")
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, text_key bigint, item_id bigint, item_words array<string>, share double, hits array<struct<at:int,diagonal:int,w:int,told:boolean>>")
     lines = reduce(DataFrame.unionAll, found)
-    lines = lines.withColumn("own", F.transform("places", lambda at: F.struct(at.alias("at"), F.col("diagonal"), F.col("w"))))
+    lines = lines.withColumn("own", F.transform("places", lambda p: F.struct(p["at"].alias("at"), F.col("diagonal"), F.col("w"), p["told"].alias("told"))))
     pair = Window.partitionBy("doc_id", "text_key", "item_id", "item_words")
     near = pair.orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
     lines = lines.withColumn("hits", F.flatten(F.collect_list("own").over(near)))
-    lines = lines.withColumn("share", F.size(F.array_distinct(F.transform("hits", lambda h: h["at"]))) / F.col("total")).where(F.col("share") >= MIN_SHARE)
+    # Of all windows, or of those that say enough as written: more windows in lower case must not hide a copy with other names.
+    places = lambda hits: F.size(F.array_distinct(F.transform(hits, lambda h: h["at"])))
+    share = F.greatest(places(F.col("hits")) / F.col("total"), F.when(F.col("told_total") > 0, places(F.filter("hits", lambda h: h["told"])) / F.col("told_total")))
+    lines = lines.withColumn("share", share).where(F.col("share") >= MIN_SHARE)
     best = lines.withColumn("n", F.row_number().over(pair.orderBy(F.desc("share"), "diagonal")))
     return best.where("n = 1").select("doc_id", "text_key", "item_id", "item_words", "share", "hits")
 
 
 def consistent(item_words: Column, doc_words: Column, hits: Column) -> Column:
-    """Share of slot values of the item that stand for one value of the document, 1 without slots."""
+    """Share of slot values of the item that stand for one value of the document in whatever case, 1 without slots."""
     aligned = F.array_distinct(
-        F.flatten(F.transform(hits, lambda h: F.transform(F.sequence(F.lit(0), h["w"] - 1), lambda j: F.struct(F.get(item_words, h["at"] + j).alias("a"), F.get(doc_words, h["at"] + h["diagonal"] + j).alias("b")))))
+        F.flatten(F.transform(hits, lambda h: F.transform(F.sequence(F.lit(0), h["w"] - 1), lambda j: F.struct(F.get(item_words, h["at"] + j).alias("a"), F.lower(F.get(doc_words, h["at"] + h["diagonal"] + j)).alias("b")))))
     )
     slots = F.filter(aligned, lambda p: is_slot(p["a"]))
     # Distinct pairs of which no earlier pair has the same item value.
@@ -112,7 +139,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """(doc_id, contaminated, n_items, item_ids, leaks), one row per input row.
 
     ``leaks`` has (item_id, first_word, last_word, share, consistency) of each
-    item found. Null or empty texts and items match nothing; items without a
+    item found. Copies in capitals or lower case are found; in them a name is a
+    literal, since nothing tells it from other words. Null or empty texts and items match nothing; items without a
     window of enough literal words can't be found. Rows repeated with the same
     id and text get the same result; an empty table gives an empty one. Other
     columns are read only with ``carry``, which adds the input row as ``row``.

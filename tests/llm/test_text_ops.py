@@ -169,6 +169,20 @@ def test_decontamination(spark):
     assert {r.contaminated for r in decontaminate.scan(frame(spark, texts), items.where("item_id IS NULL")).collect()} == {False}
 
 
+def leaks_of(spark, texts, items):
+    found = decontaminate.scan(frame(spark, texts), spark.createDataFrame(items, "item_id bigint, text string"))
+    return {r.doc_id: sorted(r.item_ids) for r in found.collect()}
+
+
+def test_decontamination_in_other_case(spark):
+    item = "The train from Berlin leaves at 14:30 and travels 120 km in two hours before it stops near a small river"
+    names = "Anna Berta and Clara met Dora Emil and Fritz near Gotha Halle and Ilmenau with Karl Ludwig and Maria"
+    fewer = "Rolf Sven and Tina saw Ute walk through the old quiet street while Vera Wim and Xaver met Yves Zoe and Alma"
+    other = re.sub(r"[A-Z]\w+", lambda m: m[0][::-1].capitalize(), fewer)
+    texts = [(1, item.upper()), (2, item.lower()), (3, item.upper().replace("120", "87")), (4, "so " + names.lower()), (5, names.upper()), (6, other), (7, "NOTHING OF THAT KIND " * 9)]
+    assert leaks_of(spark, texts, [(1, item), (2, names), (3, fewer)]) == {1: [1], 2: [1], 3: [1], 4: [2], 5: [2], 6: [3], 7: []}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {n}</title><script>var a="</p><article>";</script><style>p{{}}</style></head><body>
 <header class=top>Site name</header><nav><ul><li><a href=/a>Home {n}</a><li><a>News</a></ul></nav><div class="cookie-notice">We use cookies {n}</div>
 <div class="{main}"><h1>Title  &amp; {n}</h1><p>First   paragraph<br>of {n} &#8211; caf&eacute;<p>Second <b>bold</b>, see <a href=x>link</a> {n}.<div class=promo>Buy {n}</div>
