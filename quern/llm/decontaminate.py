@@ -101,7 +101,11 @@ def item_windows(items: DataFrame) -> dict[int, DataFrame]:
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id, item_words, share, hits): items of which enough windows hit on near diagonals."""
+    """(doc_id, text_key, item_id, item_words, spots): items of which enough windows hit on near diagonals.
+
+    ``spots`` has (-share, diagonal, hits) of each diagonal where that is so,
+    the best first. A place of the item counts on the nearest diagonal it hits.
+    """
     found = []
     for w, own in item_windows(items).items():
         own = own.select("item_id", "item_words", "total", "told_total", F.col("place").alias("at"), "told", "hash")
@@ -110,7 +114,7 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
         lines = hits.groupBy("doc_id", "text_key", "item_id", "item_words", "total", "told_total", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set(F.struct("at", "told")).alias("places"))
         found.append(lines.withColumn("w", F.lit(w)))
     if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, text_key bigint, item_id bigint, item_words array<string>, share double, hits array<struct<at:int,diagonal:int,w:int,told:boolean>>")
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, text_key bigint, item_id bigint, item_words array<string>, spots array<struct<less:double,diagonal:int,hits:array<struct<at:int,diagonal:int,w:int>>>>")
     lines = reduce(DataFrame.unionAll, found)
     lines = lines.withColumn("own", F.transform("places", lambda p: F.struct(p["at"].alias("at"), F.col("diagonal"), F.col("w"), p["told"].alias("told"))))
     pair = Window.partitionBy("doc_id", "text_key", "item_id", "item_words")
@@ -120,8 +124,12 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     places = lambda hits: F.size(F.array_distinct(F.transform(hits, lambda h: h["at"])))
     share = F.greatest(places(F.col("hits")) / F.col("total"), F.when(F.col("told_total") > 0, places(F.filter("hits", lambda h: h["told"])) / F.col("told_total")))
     lines = lines.withColumn("share", share).where(F.col("share") >= MIN_SHARE)
-    best = lines.withColumn("n", F.row_number().over(pair.orderBy(F.desc("share"), "diagonal")))
-    return best.where("n = 1").select("doc_id", "text_key", "item_id", "item_words", "share", "hits")
+    ordered = F.array_sort(F.transform("hits", lambda h: F.struct(h["at"].alias("at"), F.abs(h["diagonal"] - F.col("diagonal")).alias("off"), h["diagonal"].alias("diagonal"), h["w"].alias("w"))))
+    lines = lines.withColumn("ordered", ordered)
+    nearest = F.filter("ordered", lambda h, i: (i == 0) | (F.get("ordered", i - 1)["at"] != h["at"]))
+    lines = lines.withColumn("nearest", F.transform(nearest, lambda h: F.struct(h["at"].alias("at"), h["diagonal"].alias("diagonal"), h["w"].alias("w"))))
+    spot = F.struct((-F.col("share")).alias("less"), F.col("diagonal").alias("diagonal"), F.col("nearest").alias("hits"))
+    return lines.groupBy("doc_id", "text_key", "item_id", "item_words").agg(F.array_sort(F.collect_list(spot)).alias("spots"))
 
 
 def consistent(item_words: Column, doc_words: Column, hits: Column) -> Column:
@@ -150,22 +158,21 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     text = text.withColumn("text_key", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
     found = candidates(text.select("doc_id", "text_key", words(F.col("text")).alias("words")), items)
-    by_doc = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "item_words", "share", "hits")).alias("found"))
+    by_doc = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "item_words", "spots")).alias("found"))
     by_doc = by_doc.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "found")
     joined = text.join(by_doc, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
     # A column that is used more than once is computed once, not again for every slot.
     joined = joined.withColumn("own", F.when(F.col("found").isNotNull(), words(F.col("text"))))
-    leaks = F.transform(
-        "found",
-        lambda c: F.struct(
-            c["item_id"].alias("item_id"),
-            F.array_min(F.transform(c["hits"], lambda h: h["at"] + h["diagonal"])).cast("bigint").alias("first_word"),
-            F.array_max(F.transform(c["hits"], lambda h: h["at"] + h["diagonal"] + h["w"] - 1)).cast("bigint").alias("last_word"),
-            c["share"].alias("share"),
-            F.when(F.size("own") > 0, consistent(c["item_words"], F.col("own"), c["hits"])).alias("consistency"),
-        ),
+    leak = lambda c, p: F.struct(
+        c["item_id"].alias("item_id"),
+        F.array_min(F.transform(p["hits"], lambda h: h["at"] + h["diagonal"])).cast("bigint").alias("first_word"),
+        F.array_max(F.transform(p["hits"], lambda h: h["at"] + h["diagonal"] + h["w"] - 1)).cast("bigint").alias("last_word"),
+        (-p["less"]).alias("share"),
+        F.when(F.size("own") > 0, consistent(c["item_words"], F.col("own"), p["hits"])).alias("consistency"),
     )
-    leaks = F.coalesce(F.array_sort(F.filter(leaks, lambda x: x["consistency"] >= MIN_CONSISTENT)), F.array())
+    # Of all places where an item fits, the best of those that are consistent.
+    leaks = F.transform("found", lambda c: F.get(F.filter(F.transform(c["spots"], lambda p: leak(c, p)), lambda x: x["consistency"] >= MIN_CONSISTENT), F.lit(0)))
+    leaks = F.coalesce(F.array_sort(F.filter(leaks, lambda x: x.isNotNull())), F.array())
     # Exploding the array of this one array keeps the rows as they are, and keeps
     # the optimizer from copying the check into every condition put on its result.
     out = joined.select("doc_id", *["row"] * carry, F.explode(F.array(leaks)).alias("leaks"))

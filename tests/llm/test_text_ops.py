@@ -183,6 +183,14 @@ def test_decontamination_in_other_case(spark):
     assert leaks_of(spark, texts, [(1, item), (2, names), (3, fewer)]) == {1: [1], 2: [1], 3: [1], 4: [2], 5: [2], 6: [3], 7: []}
 
 
+def test_decontamination_checks_every_place(spark):
+    item = "Anna has 3 apples and gives 3 apples to her friend while Anna keeps walking along the quiet road"
+    wrong = item.replace("gives 3", "gives 4").replace("Anna has", "Berta has")
+    drill = "red 1 blue red 2 blue red 3 blue red 4 blue and then red 5 once more today"
+    texts = [(1, wrong + ", but then: " + item), (2, wrong + " and " + wrong), (3, wrong + " or " + item.replace("3", "8")), (4, drill), (5, "x " * 50 + drill + " " + wrong + " " + drill)]
+    assert leaks_of(spark, texts, [(1, item), (2, drill)]) == {1: [1], 2: [], 3: [1], 4: [2], 5: [2]}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {n}</title><script>var a="</p><article>";</script><style>p{{}}</style></head><body>
 <header class=top>Site name</header><nav><ul><li><a href=/a>Home {n}</a><li><a>News</a></ul></nav><div class="cookie-notice">We use cookies {n}</div>
 <div class="{main}"><h1>Title  &amp; {n}</h1><p>First   paragraph<br>of {n} &#8211; caf&eacute;<p>Second <b>bold</b>, see <a href=x>link</a> {n}.<div class=promo>Buy {n}</div>
