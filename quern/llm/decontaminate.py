@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 5
-#: A benchmark window needs so many literal words, or all of its words if it is shorter.
+#: A benchmark window needs so many literal words to hit with other values, or all of its words if it is shorter.
 MIN_LITERAL = 3
 #: Share of an item's windows that must hit on near diagonals, and of its slots that must be consistent.
 MIN_SHARE, MIN_CONSISTENT = 0.5, 0.9
@@ -53,34 +53,35 @@ def folded(word: Column) -> Column:
     return template(F.lower(word))
 
 
-#: What is made of a word before windows are hashed.
-FORMS = (template, folded)
+#: What is made of a word before windows are hashed: windows that say too little
+#: in the first two forms hit by the words themselves. Documents are hashed in as many forms as the benchmark uses.
+FORMS = (template, folded, F.lower)
 
 
 def is_slot(word: Column) -> Column:
     return template(word).isin(NUMBER, NAME, UNIT)
 
 
-def windows(rows: DataFrame, keys: list[str], w: int) -> DataFrame:
-    """(keys, place, form, hash): a row for each run of ``w`` words in each form; places count from 0.
+def windows(rows: DataFrame, keys: list[str], w: int, forms: int = len(FORMS)) -> DataFrame:
+    """(keys, place, form, hash): a row for each run of ``w`` words in each of the first ``forms``; places count from 0.
 
     Every word is hashed once in each form, and a window hashes the hashes of its words.
     """
     hashed = lambda form: F.transform("words", lambda x: F.xxhash64(form(x)))
-    codes = rows.select(*keys, (F.size("words") - w + 1).alias("n"), *(hashed(form).alias(f"codes{k}") for k, form in enumerate(FORMS)))
+    codes = rows.select(*keys, (F.size("words") - w + 1).alias("n"), *(hashed(form).alias(f"codes{k}") for k, form in enumerate(FORMS[:forms])))
     at = lambda k, i: F.get(f"codes{k}", i)
     # Null where there are too few words, which gives no row; a filter would hash the words twice.
     starts = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))
     hashes = lambda k: F.transform(starts, lambda i: F.xxhash64(*(at(k, i + j) for j in range(w))))
-    out = codes.select(*keys, "n", F.posexplode(F.concat(*(hashes(k) for k in range(len(FORMS))))).alias("at", "hash"))
+    out = codes.select(*keys, "n", F.posexplode(F.concat(*(hashes(k) for k in range(forms)))).alias("at", "hash"))
     return out.select(*keys, (F.col("at") % F.col("n")).alias("place"), F.floor(F.col("at") / F.col("n")).cast("int").alias("form"), "hash")
 
 
 def item_windows(items: DataFrame) -> dict[int, DataFrame]:
-    """Benchmark windows that say enough in their form, by their length: (item_id, item_words, place, hash, told, total, told_total).
+    """Benchmark windows in the forms in which they say enough, by their length: (item_id, item_words, place, form, hash, told, total, told_total).
 
-    ``total`` counts the places of an item that have a window, ``told_total``
-    those that have one as written, which are ``told``.
+    Every place has a window. ``total`` counts an item's places, ``told_total``
+    those that have a window in the first form, which are ``told``.
     """
     items = items.dropDuplicates(["item_id", "words"])
     lengths = [r[0] for r in items.where(F.size("words") > 0).select(F.least(F.size("words"), F.lit(WINDOW)).alias("w")).distinct().collect()]
@@ -89,14 +90,15 @@ def item_windows(items: DataFrame) -> dict[int, DataFrame]:
         own = items.where(F.least(F.size("words"), F.lit(WINDOW)) == w)
         own = windows(own.withColumn("item_words", F.col("words")), ["item_id", "item_words"], w)
         run = F.slice("item_words", F.col("place") + 1, w)
-        literal = F.when(F.col("form") == 0, F.size(F.filter(run, lambda x: ~is_slot(x)))).otherwise(F.size(F.filter(run, lambda x: ~is_slot(F.lower(x)))))
-        own = own.where(literal >= min(w, MIN_LITERAL))
+        enough = lambda form: F.size(F.filter(run, lambda x: ~is_slot(form(x)))) >= min(w, MIN_LITERAL)
+        same, low = enough(lambda x: x), enough(F.lower)
+        own = own.where(F.when(F.col("form") == 0, same).when(F.col("form") == 1, low).otherwise(~low))
         own = own.withColumn("told", (F.min("form").over(Window.partitionBy("item_id", "item_words", "place")) == 0))
         item = Window.partitionBy("item_id", "item_words")
         places = lambda which: F.size(F.collect_set(which).over(item))
         own = own.withColumn("total", places(F.col("place"))).withColumn("told_total", places(F.when(F.col("told"), F.col("place"))))
-        # A window without capitals is the same in both forms.
-        out[w] = own.dropDuplicates(["item_id", "item_words", "place", "hash"])
+        # A window without capitals is the same in several forms.
+        out[w] = own.groupBy("item_id", "item_words", "place", "hash", "told", "total", "told_total").agg(F.max("form").alias("form"))
     return out
 
 
@@ -108,9 +110,11 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     found = []
     for w, own in item_windows(items).items():
-        own = own.select("item_id", "item_words", "total", "told_total", F.col("place").alias("at"), "told", "hash")
-        side = F.broadcast(own) if own.count() <= MAX_WINDOWS else own
-        hits = windows(docs, ["doc_id", "text_key"], w).join(side, "hash")
+        own = own.select("item_id", "item_words", "total", "told_total", F.col("place").alias("at"), "form", "told", "hash")
+        count, last = own.agg(F.count(F.lit(1)), F.max("form")).first()
+        side = own.drop("form")
+        side = F.broadcast(side) if count <= MAX_WINDOWS else side
+        hits = windows(docs, ["doc_id", "text_key"], w, last + 1).drop("form").join(side, "hash")
         lines = hits.groupBy("doc_id", "text_key", "item_id", "item_words", "total", "told_total", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set(F.struct("at", "told")).alias("places"))
         found.append(lines.withColumn("w", F.lit(w)))
     if not found:
@@ -148,8 +152,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     ``leaks`` has (item_id, first_word, last_word, share, consistency) of each
     item found. Copies in capitals or lower case are found; in them a name is a
-    literal, since nothing tells it from other words. Null or empty texts and items match nothing; items without a
-    window of enough literal words can't be found. Rows repeated with the same
+    literal, since nothing tells it from other words. Null or empty texts and items match nothing; windows of few
+    literal words hit only by the same words in whatever case. Rows repeated with the same
     id and text get the same result; an empty table gives an empty one. Other
     columns are read only with ``carry``, which adds the input row as ``row``.
     """

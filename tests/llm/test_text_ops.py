@@ -191,6 +191,13 @@ def test_decontamination_checks_every_place(spark):
     assert leaks_of(spark, texts, [(1, item), (2, drill)]) == {1: [1], 2: [], 3: [1], 4: [2], 5: [2]}
 
 
+def test_decontamination_of_items_with_few_literals(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "12 34 56 78 90 11 13"), (3, "Berlin Paris Rome"), (4, "120 km"), (5, "3 4 5 and 6 7 km 8 9 or 10 11 12")]
+    texts = [(1, "so who wrote Hamlet? nobody"), (2, "x 12 34 56 78 90 11 13 y"), (3, "in BERLIN PARIS ROME"), (4, "after 120 km"), (5, "1 2 3 4 5 6 7"), (6, "Who wrote Faust? 121 km Berlin Rome"), (7, "3 4 5 and 6 7 km 8 9 or 10 11 12")]
+    assert leaks_of(spark, texts, items) == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: [], 7: [5]}
+    assert leaks_of(spark, [(1, "A TINY ITEM"), (2, "tiny")], [(1, "a tiny item")]) == {1: [1], 2: []}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {n}</title><script>var a="</p><article>";</script><style>p{{}}</style></head><body>
 <header class=top>Site name</header><nav><ul><li><a href=/a>Home {n}</a><li><a>News</a></ul></nav><div class="cookie-notice">We use cookies {n}</div>
 <div class="{main}"><h1>Title  &amp; {n}</h1><p>First   paragraph<br>of {n} &#8211; caf&eacute;<p>Second <b>bold</b>, see <a href=x>link</a> {n}.<div class=promo>Buy {n}</div>
