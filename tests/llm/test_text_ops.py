@@ -219,6 +219,13 @@ def test_wrapper_induction(spark, main):
     assert wrappers.extract(pages.where("page_id < 0")).count() == 0
 
 
+def test_every_constant_text_of_a_slot_is_template(spark):
+    page = "<html><body><div class=content><p>Text {n}</p><p>Share this page</p><p>All rights reserved</p></div></body></html>"
+    rows = [(n, "http://a.example.com/", page.format(n=n)) for n in range(12)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {n: f"Text {n}" for n in range(12)}
+
+
 def test_tree_matching_is_the_largest():
     tree = lambda html: wrappers.parse(html)
     a = tree("<div><p>a</p><ul><li>b</li></ul><p>c</p></div>")
