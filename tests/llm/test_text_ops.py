@@ -226,6 +226,14 @@ def test_every_constant_text_of_a_slot_is_template(spark):
     assert {r.page_id: r.text for r in got} == {n: f"Text {n}" for n in range(12)}
 
 
+@pytest.mark.parametrize("first", [None, "<html><body><h1>Error 500</h1></body></html>"])
+def test_a_poor_first_page_hides_no_template(spark, first):
+    page = "<html><body><div class=content><h2>Title {n}</h2><p>Text {n}</p></div><div class=content><p>Share this page</p></div></body></html>"
+    rows = [(0, "http://a.example.com/", first)] + [(n, "http://a.example.com/", page.format(n=n)) for n in range(1, 5)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got if r.page_id} == {n: f"Title {n}\n\nText {n}" for n in range(1, 5)}
+
+
 def test_tree_matching_is_the_largest():
     tree = lambda html: wrappers.parse(html)
     a = tree("<div><p>a</p><ul><li>b</li></ul><p>c</p></div>")
