@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import uuid
 
@@ -17,11 +18,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir.
 
-    Only where it is unset (tests, a single machine) a local folder is chosen
-    and set, since then there is no other machine to share with.
+    Only where it is unset and the master is this machine alone (tests) a local
+    folder is chosen and set, since then there is no other machine to share
+    with; on a cluster a folder must be named.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file:///tmp/quern-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -31,12 +35,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage and survives lost executors: what is read later lies in
-    the shared store, not on the executors.
+    the shared store, not on the executors. What was written is removed when
+    the driver's Python ends, or before by ``removed``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def removed(table: DataFrame | None) -> None:
+    """Remove a table from ``written`` that nothing reads any more."""
+    if table is not None and (path := getattr(table, "_written_at", None)):
+        _remove(table.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def measured(df: DataFrame, size: Column, limit: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import removed, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,7 +25,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: of every id, link its smaller neighbours and itself to the smallest.
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(low.select("hi", F.col("m").alias("lo"))).distinct()
-        now = written(small, "components")
+        last, now = now, written(small, "components")
+        removed(last)
         # Settled once every id has one smaller neighbour which has none: sum and count stay as they are.
         state = now.agg(F.count(F.lit(1)), F.sum(F.hash("hi", "lo").cast("bigint"))).first()
         if state == before or state[0] == 0:

@@ -39,6 +39,8 @@ EDGE = 32
 _U = np.uint64
 #: A gram's code: five bits of its document frequency's logarithm, then this many bits of its hash.
 CODE_BITS = 58
+#: Bits of a gram's hash that the exchange compares, to find the sets that may have a partner and to order their grams.
+KEY_BITS = 48
 
 
 def gram_sets(texts: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -70,15 +72,13 @@ def shared_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         values, _ = gram_sets(table.column("text").combine_chunks())
-        return np.unique(exchange.shorten(values), return_counts=True)
+        return np.unique(exchange.shorten(values, KEY_BITS), return_counts=True)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         values, places = gram_sets(table.column("text").combine_chunks()) if table.num_rows else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        short = exchange.shorten(values)
+        short = exchange.shorten(values, KEY_BITS)
         keys, code, local = np.unique(short, return_inverse=True, return_counts=True)
-        df = local.astype(np.int64)
-        told, totals, _ = exchange.told(answers, bits)
-        df[np.searchsorted(keys, told)] = totals
+        df = exchange.told(answers, keys, local, KEY_BITS, bits)[1]
         df = df[code] if len(values) else df
         shared = df > 1
         sizes = np.diff(places)
@@ -90,7 +90,7 @@ def shared_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         grams = [np.sort(codes[a:b][shared[a:b]]).view(np.int64) if m and 100 * m >= PERCENT * s else None for a, b, m, s in zip(places[:-1], places[1:], common, sizes)]
         return pa.table({"doc_id": table.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys_of_sets, pa.int64()), "grams": pa.array(grams, pa.list_(pa.int64()))})
 
-    answers = exchange.tell(batches, keys_of, bits)
+    answers = exchange.tell(batches, n, keys_of, KEY_BITS)
     return exchange.joined(batches, answers, finish, "doc_id bigint, n_shingles bigint, set_key bigint, grams array<bigint>")
 
 

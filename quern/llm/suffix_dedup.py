@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from quern.llm import exchange, textcode
 
 WIDTH, GRAM = 50, 24
+#: Bits of an anchor's hash that the exchange compares; windows are told apart by their bytes.
+KEY_BITS = 48
 _U = np.uint64
 _NO_ID = np.iinfo(np.int64).max
 _rng = np.random.default_rng(50)
@@ -223,7 +225,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         _, texts = ordered(table)
-        keys = np.unique(exchange.shorten(windows(texts)[3]))
+        keys = np.unique(exchange.shorten(windows(texts)[3], KEY_BITS))
         return keys, np.ones(len(keys), np.int64)
 
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -233,8 +235,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             batch = table.column("batch")[0].as_py()
             ids, texts = ordered(table)
             text, first, last, anchor, body = windows(texts)
-            short = exchange.shorten(anchor)
-            told = exchange.told(answers, bits)[0]
+            short = exchange.shorten(anchor, KEY_BITS)
             # Shared with another batch, or between documents of this one.
             names, code = np.unique(short, return_inverse=True)
             low, high = np.full(len(names), _NO_ID), np.full(len(names), -1)
@@ -243,7 +244,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             np.minimum.at(low, code, rank)
             np.maximum.at(high, code, rank)
             shared = high > low
-            shared[np.searchsorted(names, told)] = True
+            shared |= exchange.told(answers, names, np.ones(len(names), np.int64), KEY_BITS, bits, sums=False)[0]
             pick = np.flatnonzero(shared[code]) if len(code) else np.zeros(0, np.int64)
             text, first, last, anchor, body, own_id = (x[pick] for x in (text, first, last, anchor, body, own_id))
             # Each different stretch is sent for its smallest id; later ids here lose it in any case.
@@ -311,7 +312,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             }
         )
 
-    answers = exchange.tell(batches, keys_of, bits)
+    answers = exchange.tell(batches, n, keys_of, KEY_BITS, totals=False)
     names = ["part bigint", "batch bigint", *(f"{k} binary" for k in ("rows", "starts", "sizes", "ids", "data", "gone"))]
     sent = exchange.joined(batches, answers, send, ", ".join(names))
     back = sent.groupBy("part").applyInArrow(resolve, "batch bigint, gone binary")
