@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -268,3 +269,50 @@ def test_each_member_can_be_read_alone():
     assert warc.normalise_file(members)[1] == index
     with pytest.raises(ValueError):
         warc.inflate(whole[:-9])
+
+
+def extracted(spark, htmls, **options):
+    rows = [(n, "http://a.example.com/x", h) for n, h in enumerate(htmls)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), **options).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_statistics_tell_the_article_without_marks(spark):
+    """Menus, adverts and footers that vary from page to page go without a look at any tag or name."""
+    body = lambda n: [f"Headline number {n}", *(f"Sentence {k} of text {n} says what happened on day {n * k} and why." for k in range(4))]
+    page = lambda n: "<html><body><div><ul>" + "".join(f"<li><a href=/{k}>word{n * k}</a>" for k in range(6)) + f"</ul></div><div class=b>Buy thing {n}</div><div><h2>{body(n)[0]}</h2>" + "".join(f"<p>{x}</p>" for x in body(n)[1:]) + f"</div><div class=z>(c) {n} some words</div></body></html>"
+    assert extracted(spark, map(page, range(30)), marks=False) == ["\n\n".join(body(n)) for n in range(30)]
+    # A second layout on the host, which is another place for the article.
+    other = lambda n: f"<html><body><table><tr><td>menu {n}</td></tr></table><section><div>" + "".join(f"<p>{x}</p>" for x in body(n)) + "</div></section></body></html>"
+    both = [*map(page, range(20)), *map(other, range(20, 26))]
+    assert extracted(spark, both, marks=False) == ["\n\n".join(body(n)) for n in range(26)]
+
+
+def test_copies_of_one_article_are_no_template(spark):
+    page = "<html><body><div class=content><h2>Same title</h2><p>Same long text of the one article.</p><p>And more of it here.</p></div><div class=ad>{n}</div></body></html>"
+    assert set(extracted(spark, [page.format(n=n) for n in range(12)])) == {"Same title\n\nSame long text of the one article.\n\nAnd more of it here."}
+
+
+def test_an_article_beside_teasers_and_names_that_only_look_apart(spark):
+    story = "".join(f"<p>Long paragraph number {k} of the story itself, with many words.</p>" for k in range(5))
+    page = f"<body><article class=teaser><h3>Teaser</h3><p>short</p></article><div class=story-body>{story}<div class=related-work><p>Earlier work is cited here.</p></div><div class=news-notice><p>The notice was printed.</p></div></div></body>"
+    text = "\n\n".join([*(f"Long paragraph number {k} of the story itself, with many words." for k in range(5)), "Earlier work is cited here.", "The notice was printed."])
+    assert extracted(spark, [page]) == [text]
+    parts = "<body><main><section><div class=content>{a}</div><div class=content>{a}</div></section></main></body>".format(a=story)
+    assert extracted(spark, [parts])[0].count("Long paragraph") == 10
+
+
+def test_broken_deep_and_wide_pages(spark):
+    deep = "<div>" * 5000 + "<p>inner text</p>" + "</div>" * 5000 + "<p>outer text"
+    quotes = '<p>before</p>' + '<a title="x ' * 8000 + "<p>after</p>"
+    wide = "".join(f"<h{k % 6 + 1}>title {k}</h{k % 6 + 1}><p>text {k}</p><ul><li>item {k}</ul>" for k in range(700))
+    mixed = "<p>one<!-- never closed <p>two"
+    buttons = "<p>kept</p>" + "<button>" * 5000 + "<p>also kept"
+    script = "<p>start</p><script>var a = '<p>no</p>'"
+    began = time.time()
+    got = extracted(spark, [deep, deep.replace("inner", "other"), quotes, wide, wide[::-1], mixed, buttons, script, "<" * 50_000, "a < b <c"])
+    assert time.time() - began < 60
+    assert got[0] == "inner text\n\nouter text" and got[1] == "other text\n\nouter text"
+    assert got[2].startswith("before") and got[2].endswith("after") and "title" not in got[2]
+    assert got[3].count("\n\n") == 3 * 700 - 1
+    assert (got[5], got[6], got[7], got[8], got[9]) == ("one", "kept\n\nalso kept", "start", "<" * 50_000, "a < b")
