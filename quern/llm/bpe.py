@@ -2,8 +2,9 @@
 
 The vocabulary is never trained here: ranks come from a file whose path is a
 parameter, and the tiktoken library merges the bytes. Long texts are cut where
-no match of the pattern can reach across, so that the regular expression never
-sees more than a bounded piece and the ids are those of the uncut text.
+no match of the pattern can reach across, and long runs of white space go to the
+merger as the one match that they are, so that the ids are those of the uncut
+text.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from quern.llm.common import keyed_text
 PIECE_CHARS = 1 << 15
 #: Rows are sent back to the JVM once this many bytes of output have gathered.
 FLUSH_BYTES = 4 << 20
-_CUT = re.compile(r"\S(?=\s)")
-
+#: White space as the pattern has it, a fixed value: it is not all that Python calls white space.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = re.compile(f"[^{_SPACE}](?=[{_SPACE}])")
 
 @lru_cache(maxsize=4)
 def _encoding(ranks_path: str, pattern: str):
@@ -36,28 +38,48 @@ def _encoding(ranks_path: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def safe_pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
-    """Cut ``text`` only between a character that isn't white space and white space.
+@lru_cache(maxsize=4)
+def _long_run(limit: int) -> re.Pattern:
+    return re.compile(f"[{_SPACE}]{{{limit},}}")
+
+
+def safe_pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[tuple[str, bool]]:
+    """(piece, whether it is one match of the pattern) of ``text``, in order.
 
-    Every alternative of the pattern takes white space, if any, before its other
+    A piece ends between a character that isn't white space and white space:
+    every alternative of the pattern takes white space, if any, before its other
     characters, none looks behind, and the only look-ahead asks whether white
     space is followed by more text, which such a cut never separates. So no
-    match spans a cut. A stretch without such a place stays whole.
+    match spans a cut. A run of ``limit`` white-space characters, which the
+    regular expression would go back over one by one, is a match as it is; if
+    text follows, its last character belongs to what follows. A stretch without
+    white space stays whole.
     """
     start = 0
-    while len(text) - start > limit:
-        cut = _CUT.search(text, start + limit - 1)
+    if len(text) > limit:
+        for run in _long_run(limit).finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            yield from _cut(text, start, run.start(), limit)
+            yield text[run.start() : end], True
+            start = end
+    yield from _cut(text, start, len(text), limit)
+
+
+def _cut(text: str, start: int, end: int, limit: int) -> Iterator[tuple[str, bool]]:
+    while end - start > limit:
+        cut = _CUT.search(text, start + limit - 1, end)
         if cut is None:
             break
-        yield text[start : cut.end()]
+        yield text[start : cut.end()], False
         start = cut.end()
-    yield text[start:]
+    if start < end:
+        yield text[start:end], False
 
 
 def encode_text(encoding, text: str) -> np.ndarray:
     """Ids of one text, as little-endian unsigned 32-bit integers."""
-    parts = [encoding.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(text)]
-    return (parts[0] if len(parts) == 1 else np.concatenate(parts)).astype("<u4", copy=False)
+    parts = [np.array(encoding._encode_single_piece(piece), "<u4") if whole else encoding.encode_to_numpy(piece, disallowed_special=()).astype("<u4", copy=False) for piece, whole in safe_pieces(text)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -73,11 +73,32 @@ def test_byte_pairs(spark, tmp_path):
 
 def test_safe_pieces_join_to_the_text():
     text = ("word  two\n\nthree" * 50 + "   ") * 20
-    pieces = list(bpe.safe_pieces(text, 100))
+    pieces = [x for x, _ in bpe.safe_pieces(text, 100)]
     assert "".join(pieces) == text and len(pieces) > 50
     assert all(not a[-1].isspace() and b[0].isspace() for a, b in zip(pieces, pieces[1:]))
 
 
+def test_long_runs_of_white_space(spark, tmp_path):
+    import tiktoken
+
+    path = tmp_path / "ranks"
+    ranks = RANKS | {b"  ": 260, b"    ": 261, b"\n\n": 262, b" \n": 263}
+    path.write_bytes(b"".join(base64.b64encode(k) + b" %d\n" % v for k, v in ranks.items()))
+    plain = tiktoken.Encoding("plain", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # The library itself takes runs of some hundred thousand characters.
+    runs = [" " * 40_000, " \n" * 20_001, "\u3000" * 33_000, "\x1c" * 33_000, " " * 32_768, "\t" * 32_767]
+    texts = [a + run + b for run in runs for a, b in (("", ""), ("a", "b"), ("!", "!"), ("", " b"), ("x y\x1c!", "\n1"))]
+    texts.append(" the in " * 9000 + runs[0] + "the" + runs[1] + "'s")
+    got = {r.doc_id: r for r in bpe.encode(frame(spark, enumerate(texts)), str(path), PATTERN).collect()}
+    for i, text in enumerate(texts):
+        assert got[i].ids == b"".join(x.to_bytes(4, "little") for x in plain.encode_ordinary(text)), i
+    # Beyond that the ids are those of the one match.
+    long = [" " * 2_000_000 + "the", " \n" * 1_000_000]
+    got = {r.doc_id: r for r in bpe.encode(frame(spark, enumerate(long)), str(path), PATTERN).collect()}
+    assert got[0].ids == b"".join(x.to_bytes(4, "little") for x in [*plain._encode_single_piece(" " * 1_999_999), 258])
+    assert got[1].ids == b"".join(x.to_bytes(4, "little") for x in plain._encode_single_piece(long[1]))
+
+
 def test_license_scan(spark):
     mit = licences.TEMPLATES[6][1]
     edited = mit.replace("free of charge", "entirely free of any charge").replace("sublicense, ", "")
@@ -130,6 +151,20 @@ def test_toxicity(spark):
     assert none is None and {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_the_model_is_the_same_whatever_the_order_of_ties(spark):
+    """An id with several labels has the least, one with several texts the least text."""
+    rows = [(i, f"you utter {'scum' if i % 2 else 'friend'} number {i}") for i in range(80)] + [(1, "another text scum"), (1, "another text scum"), (3, None)]
+    labels = [(i, i % 2) for i in range(80)] + [(1, 0), (2, 1), (2, None)]
+    models = []
+    for turn in (1, -1):
+        docs, told = frame(spark, rows[::turn]), spark.createDataFrame(labels[::turn], "doc_id bigint, toxic int")
+        models.append(toxicity.train(docs, told))
+    a, b = models
+    assert (a.features == b.features).all() and (a.weights == b.weights).all() and (a.layer == b.layer).all()
+    assert toxicity.train(docs, told.where("toxic = 1")) is None
+    assert toxicity.train(docs, told, chars=0) is None
+
+
 def test_marginals_equal_enumeration():
     import itertools
 
