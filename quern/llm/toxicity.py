@@ -7,7 +7,8 @@ their occurrences in toxic documents are the labelled tokens. The field is then
 fitted to those tokens, forward-backward gives each word's marginal, and a
 logistic layer over the marginals gives the document's score.
 
-Fitting uses a bounded sample of labelled rows (TRAIN_ROWS of each class);
+Fitting uses a bounded sample of labelled rows (TRAIN_ROWS of each class,
+TRAIN_CHARS in all);
 scoring runs over every whole text as one narrow pass without a shuffle.
 """
 
@@ -19,18 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import textcode
 from quern.llm.common import keyed_text
 
-#: At most this many labelled rows of each class are fitted, of at most this many characters.
-TRAIN_ROWS, TRAIN_CHARS = 1500, 20_000
+#: At most this many labelled rows of each class are fitted, of at most so many characters in all and in one text.
+TRAIN_ROWS, TRAIN_CHARS, LONGEST_TEXT = 2000, 10_000_000, 500_000
 #: Lengths in bytes of the word beginnings that serve as features beside the word.
 PREFIXES = (4, 5)
-#: A cover feature explains at least so many toxic documents, with at least this precision.
-MIN_COVER, MIN_PRECISION = 3, 0.95
+#: A cover feature explains at least so many toxic documents, with at least this precision; a document is explained up to COVERS times.
+MIN_COVER, MIN_PRECISION, COVERS = 3, 0.95, 4
 SEGMENT, STEPS, RATE, L2 = 64, 90, 0.15, 0.3
 THRESHOLD = 0.3
 #: Runs of ordinary words beyond this length have converged and share one matrix.
@@ -96,15 +97,16 @@ def _cover(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     every = np.bincount(code, minlength=len(names))
     good = (names != 0) & (bad >= MIN_COVER) & (bad >= MIN_PRECISION * every)
     use = good[code] & (toxic[doc] == 1)
-    code, doc, open_docs, picked = code[use], doc[use], toxic == 1, []
+    code, doc, need, picked = code[use], doc[use], np.where(toxic == 1, COVERS, 0), []
     while True:
-        left = open_docs[doc]
-        count = np.bincount(code[left], minlength=len(names))
+        count = np.bincount(code[need[doc] > 0], minlength=len(names))
         if not len(count) or count.max() < MIN_COVER:
             return np.array(picked, np.uint64)
         best = int(count.argmax())
         picked.append(names[best])
-        open_docs[doc[code == best]] = False
+        own = code == best
+        need[doc[own]] -= 1
+        code, doc = code[~own], doc[~own]
 
 
 def _fit_chain(x: np.ndarray, y: np.ndarray, n_features: int, lengths: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -256,14 +258,23 @@ def marginals(model: Model, features: np.ndarray, places: np.ndarray) -> Iterato
         yield sum(out), max(out), list(zip(own.tolist(), out))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model | None:
-    """Fit on at most ``rows`` labelled training rows of each class, chosen by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model | None:
+    """Fit on at most ``rows`` labelled training rows of each class, in the order of a hash of the id.
+
+    Texts over LONGEST_TEXT characters are left out, and so is what comes after
+    ``chars`` characters in all. An id with several labels has the least, one
+    with several texts the least text. None without both classes.
+    """
     own = labels.select(F.col("doc_id").cast("bigint").alias("__label_id"), F.col("toxic").cast("int").alias("__toxic")).where("__label_id IS NOT NULL AND __toxic IN (0, 1)")
-    own = own.where(~held_out(F.col("__label_id"))).dropDuplicates(["__label_id"])
+    own = own.where(~held_out(F.col("__label_id"))).groupBy("__label_id").agg(F.min("__toxic").alias("__toxic"))
     totals = {r["__toxic"]: r["count"] for r in own.groupBy("__toxic").count().collect()}
     order = [F.xxhash64("__label_id"), F.col("__label_id")]
     sample = own.where("__toxic = 1").orderBy(*order).limit(rows).unionAll(own.where("__toxic = 0").orderBy(*order).limit(rows))
-    found = keyed_text(docs, id_col, text_col).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), F.col("doc_id") == F.col("__label_id")).select("doc_id", "text", "__toxic").dropDuplicates(["doc_id"])
+    text = keyed_text(docs, id_col, text_col)
+    sizes = text.select("doc_id", F.length("text").alias("size")).where(F.col("size") <= LONGEST_TEXT).join(F.broadcast(sample), F.col("doc_id") == F.col("__label_id"))
+    sizes = sizes.groupBy("__label_id", "__toxic").agg(F.max("size").alias("size"))  # as many rows as the sample at most, in one window
+    fits = sizes.withColumn("upto", F.sum("size").over(Window.orderBy(*order))).where(F.col("upto") <= chars).select("__label_id", "__toxic")
+    found = text.where(F.length("text") <= LONGEST_TEXT).join(F.broadcast(fits), F.col("doc_id") == F.col("__label_id")).groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "__toxic")
     share = totals.get(1, 0) / max(1, sum(totals.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +291,9 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
     ``spans`` lists runs of words whose marginal is 1/2 or more, as character
     offsets. Null and empty texts have the score of a text without toxic words;
-    without a model every score is 0. ``carry`` adds the input row as ``row``.
+    without a model every score is 0. Very long texts are scored whole, repeated
+    rows each get their row, an empty table gives an empty result. Other columns
+    are read only with ``carry``, which adds the input row as ``row``.
     """
     extra = [F.struct("*").alias("row")] if carry else []
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra)
