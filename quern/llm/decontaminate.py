@@ -9,9 +9,10 @@ document less place in the item) or on near ones form a candidate. A candidate
 is a leak if enough of the item's windows hit and its slots are filled
 consistently: one value of the item always stands for one value of the document.
 
-The windows of a document never leave its partition unless they hit. The
-benchmark side is broadcast while its counted size is within MAX_WINDOWS;
-beyond that the same join shuffles.
+The windows of a document never leave its partition unless they hit. A window of
+the benchmark carries a key of its item, not its words; this side is broadcast
+while its counted bytes are within BROADCAST_BYTES, and beyond that the same
+join shuffles. The words of an item are joined to its candidates alone.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import measured
+
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 5
 #: A benchmark window needs so many literal words to hit with other values, or all of its words if it is shorter.
@@ -29,7 +32,9 @@ MIN_LITERAL = 3
 MIN_SHARE, MIN_CONSISTENT = 0.5, 0.9
 #: Diagonals this near count together, for a word put in or left out.
 DRIFT = 2
-MAX_WINDOWS = 200_000
+BROADCAST_BYTES = 32 << 20
+#: Bytes that a benchmark window takes in a broadcast table.
+WINDOW_BYTES = 96
 #: Words that count as units of measure, as fixed values.
 UNITS = "km m cm mm kg g mg lb lbs oz mile miles meter meters metre metres foot feet inch inches yard yards hour hours minute minutes second seconds day days week weeks month months year years dollar dollars euro euros cent cents percent liter liters litre litres gallon gallons degree degrees mph kmh".split()
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
@@ -78,50 +83,48 @@ def windows(rows: DataFrame, keys: list[str], w: int, forms: int = len(FORMS)) -
 
 
 def item_windows(items: DataFrame) -> dict[int, DataFrame]:
-    """Benchmark windows in the forms in which they say enough, by their length: (item_id, item_words, place, form, hash, told, total, told_total).
+    """Benchmark windows in the forms in which they say enough, by their length: (item_key, place, form, hash, told, total, told_total).
 
     Every place has a window. ``total`` counts an item's places, ``told_total``
     those that have a window in the first form, which are ``told``.
     """
-    items = items.dropDuplicates(["item_id", "words"])
     lengths = [r[0] for r in items.where(F.size("words") > 0).select(F.least(F.size("words"), F.lit(WINDOW)).alias("w")).distinct().collect()]
     out = {}
     for w in lengths:
         own = items.where(F.least(F.size("words"), F.lit(WINDOW)) == w)
-        own = windows(own.withColumn("item_words", F.col("words")), ["item_id", "item_words"], w)
+        own = windows(own.withColumn("item_words", F.col("words")), ["item_key", "item_words"], w)
         run = F.slice("item_words", F.col("place") + 1, w)
         enough = lambda form: F.size(F.filter(run, lambda x: ~is_slot(form(x)))) >= min(w, MIN_LITERAL)
         same, low = enough(lambda x: x), enough(F.lower)
         own = own.where(F.when(F.col("form") == 0, same).when(F.col("form") == 1, low).otherwise(~low))
-        own = own.withColumn("told", (F.min("form").over(Window.partitionBy("item_id", "item_words", "place")) == 0))
-        item = Window.partitionBy("item_id", "item_words")
+        own = own.drop("item_words").withColumn("told", (F.min("form").over(Window.partitionBy("item_key", "place")) == 0))
+        item = Window.partitionBy("item_key")
         places = lambda which: F.size(F.collect_set(which).over(item))
         own = own.withColumn("total", places(F.col("place"))).withColumn("told_total", places(F.when(F.col("told"), F.col("place"))))
         # A window without capitals is the same in several forms.
-        out[w] = own.groupBy("item_id", "item_words", "place", "hash", "told", "total", "told_total").agg(F.max("form").alias("form"))
+        out[w] = own.groupBy("item_key", "place", "hash", "told", "total", "told_total").agg(F.max("form").alias("form"))
     return out
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, text_key, item_id, item_words, spots): items of which enough windows hit on near diagonals.
+    """(doc_id, text_key, item_key, spots): items of which enough windows hit on near diagonals.
 
     ``spots`` has (-share, diagonal, hits) of each diagonal where that is so,
     the best first. A place of the item counts on the nearest diagonal it hits.
     """
     found = []
     for w, own in item_windows(items).items():
-        own = own.select("item_id", "item_words", "total", "told_total", F.col("place").alias("at"), "form", "told", "hash")
-        count, last = own.agg(F.count(F.lit(1)), F.max("form")).first()
-        side = own.drop("form")
-        side = F.broadcast(side) if count <= MAX_WINDOWS else side
+        own = own.select("item_key", "total", "told_total", F.col("place").alias("at"), "form", "told", "hash")
+        last = own.agg(F.max("form")).first()[0]
+        side = measured(own.drop("form"), F.lit(WINDOW_BYTES), BROADCAST_BYTES)
         hits = windows(docs, ["doc_id", "text_key"], w, last + 1).drop("form").join(side, "hash")
-        lines = hits.groupBy("doc_id", "text_key", "item_id", "item_words", "total", "told_total", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set(F.struct("at", "told")).alias("places"))
+        lines = hits.groupBy("doc_id", "text_key", "item_key", "total", "told_total", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set(F.struct("at", "told")).alias("places"))
         found.append(lines.withColumn("w", F.lit(w)))
     if not found:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, text_key bigint, item_id bigint, item_words array<string>, spots array<struct<less:double,diagonal:int,hits:array<struct<at:int,diagonal:int,w:int>>>>")
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, text_key bigint, item_key bigint, spots array<struct<less:double,diagonal:int,hits:array<struct<at:int,diagonal:int,w:int>>>>")
     lines = reduce(DataFrame.unionAll, found)
     lines = lines.withColumn("own", F.transform("places", lambda p: F.struct(p["at"].alias("at"), F.col("diagonal"), F.col("w"), p["told"].alias("told"))))
-    pair = Window.partitionBy("doc_id", "text_key", "item_id", "item_words")
+    pair = Window.partitionBy("doc_id", "text_key", "item_key")
     near = pair.orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
     lines = lines.withColumn("hits", F.flatten(F.collect_list("own").over(near)))
     # Of all windows, or of those that say enough as written: more windows in lower case must not hide a copy with other names.
@@ -133,7 +136,7 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     nearest = F.filter("ordered", lambda h, i: (i == 0) | (F.get("ordered", i - 1)["at"] != h["at"]))
     lines = lines.withColumn("nearest", F.transform(nearest, lambda h: F.struct(h["at"].alias("at"), h["diagonal"].alias("diagonal"), h["w"].alias("w"))))
     spot = F.struct((-F.col("share")).alias("less"), F.col("diagonal").alias("diagonal"), F.col("nearest").alias("hits"))
-    return lines.groupBy("doc_id", "text_key", "item_id", "item_words").agg(F.array_sort(F.collect_list(spot)).alias("spots"))
+    return lines.groupBy("doc_id", "text_key", "item_key").agg(F.array_sort(F.collect_list(spot)).alias("spots"))
 
 
 def consistent(item_words: Column, doc_words: Column, hits: Column) -> Column:
@@ -161,7 +164,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     text = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *extra)
     text = text.withColumn("text_key", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
+    items = items.dropDuplicates(["item_id", "words"]).withColumn("item_key", F.xxhash64("item_id", "words"))
     found = candidates(text.select("doc_id", "text_key", words(F.col("text")).alias("words")), items)
+    told = items.select(F.col("item_key").alias("of_key"), "item_id", F.col("words").alias("item_words"))
+    told = measured(told, F.coalesce(F.octet_length(F.array_join("item_words", " ")), F.lit(0)) + 48, BROADCAST_BYTES)
+    found = found.join(told, F.col("item_key") == F.col("of_key"))
     by_doc = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "item_words", "spots")).alias("found"))
     by_doc = by_doc.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "found")
     joined = text.join(by_doc, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_key") == F.col("found_key")), "left")
