@@ -2,15 +2,15 @@
 
 Sampled splitters range-partition the rows by content, each partition is sorted
 (spilling to disk where it must), and equal texts come to lie next to each
-other. The grouping of the window compares whole neighbouring texts; a hash
-never decides that two texts are equal.
+other. The grouping of the window compares whole neighbouring texts.
 
 Range boundaries are drawn on (head, hash, salt) where ``head`` is the first
 bytes of the text: the splitters that Spark samples to the driver then have a
 fixed width instead of a whole text each. The hash spreads texts that share
 their head, and the salt spreads the copies of one text, so that a text which
-makes up a third of all rows still fills many partitions. The salted parts of
-one text meet again as one narrow row each.
+makes up a third of all rows still fills many partitions; there is a salt for each
+SALT_BYTES of input. The salted parts of one text meet again as one narrow row
+each, told by SHA-256 of the text: only there a digest stands for a text.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD_BYTES = 48
-SALTS = 64
+#: Salts at least and at most, and the bytes of text for which there is one.
+SALTS, MOST_SALTS, SALT_BYTES = 64, 1 << 20, 32 << 20
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", salts: int = SALTS, carry: bool = False) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", salts: int | None = None, carry: bool = False) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Equal means identical text; a null text counts as empty. Of equal texts the
@@ -36,6 +37,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     rank = F.col("doc_id").desc_nulls_last() if keep == "max" else F.col("doc_id").asc_nulls_last()
     best = F.max if keep == "max" else F.min
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    if salts is None:
+        salts = min(MOST_SALTS, max(SALTS, (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SALT_BYTES))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.cast("binary").alias("body"), *([F.struct("*").alias("row")] if carry else []))
     rows = rows.select(
         *carried,

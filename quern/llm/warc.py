@@ -5,29 +5,36 @@ without inflating all before it. The normaliser inflates such a stream once,
 rewrites every record as a gzip member of its own and writes a sidecar index of
 offsets; then any record can be read alone.
 
-Archives are rows (archive, body) of a table in the shared folder, each of a
-bounded size, so that any store Spark can write will do and a lost executor
-costs the archives it was working on only.
+Archives are rows (archive, body) of a bounded size. ``export`` writes them as
+files that any WARC reader opens, with a sidecar file of offsets for each
+normalised one; tasks write under a name of their own and rename, so a lost
+executor costs the archives it was working on only. In a store that Arrow's
+file systems don't open, the round trip keeps them as Parquet rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import scratch, written
 
 #: An archive is closed once its records have this many bytes before compression.
 ARCHIVE_BYTES = 8 << 20
 #: Payloads shorter than this are always written in full.
 REVISIT_BYTES = 100
+#: Digests that several pages have are broadcast within this many bytes; beyond, each is dealt to SALTS parts of a shuffle.
+BROADCAST_BYTES, DIGEST_BYTES, SALTS = 32 << 20, 128, 64
 LEVEL = 1
 GZIP = 31  # zlib's window bits for the gzip format
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,9 +53,18 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # Partial aggregation leaves one row for each digest and task before the shuffle.
-    first = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(other, F.col("first_id")).alias("refers_to"))
+    first = rows.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    # A digest of one page refers to nothing; pages without a copy need no join.
+    first = written(first.where("n > 1").select(F.col("digest").alias("of_digest"), "first_id"), "warc-copies")
+    same = F.col("digest") == F.col("of_digest")
+    if first.count() * DIGEST_BYTES <= BROADCAST_BYTES:
+        both = rows.join(F.broadcast(first), same, "left")
+    else:
+        first = first.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(first, same & (F.col("salt") == F.col("of_salt")), "left")
+    # Digests are equal for payloads of any length, shorter ones too.
+    other = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.octet_length("payload") >= REVISIT_BYTES)
+    return both.select("page_id", "url", "payload", "digest", F.when(other, F.col("first_id")).alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -162,26 +178,108 @@ def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
     return number(fields["warc-record-id"]), size, declared, fields["warc-type"], refers
 
 
+_RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+
+
+def _table(found: list[tuple]) -> pa.RecordBatch:
+    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(schema.types)], schema=schema)
+
+
 def read_records(normalised: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to), each record by its offset alone."""
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, index in zip(batch.column(1), batch.column(2)):
                 view = memoryview(body.as_buffer())
-                found = [parse(zlib.decompress(view[x["offset"] : x["offset"] + x["length"]], GZIP)) for x in index.as_py()]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), schema.types)], schema=schema)
+                yield _table([parse(zlib.decompress(view[x["offset"] : x["offset"] + x["length"]], GZIP)) for x in index.as_py()])
+
+    return normalised.select("archive", "body", "index").mapInArrow(run, _RECORDS)
+
+
+def opens(folder: str) -> bool:
+    """Whether Arrow's file systems open the folder."""
+    return urlsplit(folder).scheme in ("", "file", "hdfs", "s3", "s3a", "s3n", "gs")
+
+
+def _store(folder: str):
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))
+
+
+def export(archives: DataFrame, folder: str) -> DataFrame:
+    """(archive, bytes, records): each archive as a file in ``folder``.
+
+    With an ``index`` there is a sidecar ``<archive>.cdxj`` beside it, a line of
+    JSON for each record. Files are there once the rows are computed; a repeated
+    task replaces a file by the same one.
+    """
+    indexed = "index" in archives.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(folder)
+        store.create_dir(top, recursive=True)
+
+        def put(name: str, data) -> None:
+            own = f"{top}/.{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(own, compression=None) as f:
+                f.write(data)
+            store.move(own, f"{top}/{name}")
+
+        for batch in batches:
+            for k, name in enumerate(batch.column(0).to_pylist()):
+                body = batch.column(1)[k].as_buffer()
+                put(name, body)
+                index = batch.column(2)[k].as_py() if indexed else []
+                if indexed:
+                    put(f"{name}.cdxj", "".join(json.dumps(x) + "\n" for x in index).encode())
+                yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": pa.array([len(body)], pa.int64()), "records": pa.array([len(index)], pa.int64())})
+
+    return archives.select("archive", "body", *["index"] * indexed).mapInArrow(run, "archive string, bytes bigint, records bigint")
+
+
+def load(files: DataFrame, folder: str) -> DataFrame:
+    """(archive, body) of the exported files that ``files`` lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{top}/{name}") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f.read()], pa.binary())], ["archive", "body"])
+
+    return files.select("archive").mapInArrow(run, "archive string, body binary")
+
+
+def read_files(files: DataFrame, folder: str) -> DataFrame:
+    """As ``read_records``: each record of the exported files, found by the sidecar and read alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{top}/{name}.cdxj") as f:
+                    index = [json.loads(line) for line in f.read().splitlines()]
+                with store.open_input_file(f"{top}/{name}") as f:
+                    yield _table([parse(zlib.decompress(f.read_at(x["length"], x["offset"]), GZIP)) for x in index])
 
-    return normalised.select("archive", "body", "index").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return files.select("archive").mapInArrow(run, _RECORDS)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Write, normalise and read back: one row for each page.
+def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): write, normalise and read back, one row per page.
 
-    Both kinds of archive are tables in the shared folder; empty tables give
-    empty archives and no rows.
+    Both kinds of archive lie in the shared folder. A null html is an empty
+    payload, a null page_id comes back as null, repeated rows each have their
+    record, and other columns are not read. A page above ``archive_bytes`` is an
+    archive of its own. An empty table gives no archives and no rows.
     """
-    archives = written(write_archives(pages), "warc-streams")
-    return read_records(written(normalise(archives), "warc-members"))
+    streams = write_archives(pages, id_col, url_col, html_col, archive_bytes)
+    folder = scratch(pages.sparkSession, "warc")
+    if not opens(folder):
+        return read_records(written(normalise(written(streams, "warc-streams")), "warc-members"))
+    listed = written(export(streams, f"{folder}/streams"), "warc-streams")
+    members = written(export(normalise(load(listed, f"{folder}/streams")), f"{folder}/members"), "warc-members")
+    return read_files(members, f"{folder}/members")

@@ -351,3 +351,33 @@ def test_broken_deep_and_wide_pages(spark):
     assert got[2].startswith("before") and got[2].endswith("after") and "title" not in got[2]
     assert got[3].count("\n\n") == 3 * 700 - 1
     assert (got[5], got[6], got[7], got[8], got[9]) == ("one", "kept\n\nalso kept", "start", "<" * 50_000, "a < b")
+
+
+def test_archives_are_files_that_open_alone(spark, tmp_path):
+    import gzip
+    import json
+
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>page {i} " + "x" * 3000) for i in range(40)], "page_id bigint, url string, html string")
+    folder = f"file://{tmp_path}/warc"
+    listed = warc.export(warc.write_archives(pages, archive_bytes=20_000), f"{folder}/streams").collect()
+    files = spark.createDataFrame(listed)
+    assert len(listed) >= 4 and all(r.bytes == (tmp_path / "warc/streams" / r.archive).stat().st_size for r in listed)
+    done = warc.export(warc.normalise(warc.load(files, f"{folder}/streams")), f"{folder}/members").collect()
+    assert sum(r.records for r in done) == 40
+    for r in done:
+        body = (tmp_path / "warc/members" / r.archive).read_bytes()
+        assert gzip.decompress(body) == gzip.decompress((tmp_path / "warc/streams" / r.archive).read_bytes())
+        for line in (tmp_path / "warc/members" / f"{r.archive}.cdxj").read_text().splitlines():
+            x = json.loads(line)
+            assert x["record_id"].encode() in gzip.decompress(body[x["offset"] : x["offset"] + x["length"]])
+    assert {r.page_id for r in warc.read_files(spark.createDataFrame(done), f"{folder}/members").collect()} == set(range(40))
+    assert not [f for f in (tmp_path / "warc/members").iterdir() if f.name.startswith(".") and not f.name.endswith(".crc")]
+
+
+@pytest.mark.parametrize("broadcast", [0, 1 << 20])
+def test_revisits_of_a_payload_that_most_pages_have(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(warc, "opens", lambda folder: broadcast > 0)
+    rows = [(i, "u", "same " * 40 if i % 3 else f"page {i} " * 30) for i in range(200)] + [(i, "u", "") for i in range(200, 240)] + [(1, "u", "same " * 40)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()
+    assert Counter((r.record_type, r.refers_to) for r in got) == {("response", None): 67 + 40 + 2, ("revisit", 1): 132}
