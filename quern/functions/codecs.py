@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, StringType
+from pyspark.sql.types import DecimalType
 
 # Fixed values of the storage format.
 HEADER_BYTES = 16
@@ -147,19 +146,30 @@ def index_entry(key: Column, offset: Column, size: Column) -> Column:
     return F.unhex(F.concat(F.lpad(F.conv(key.cast("string"), 10, 16), 16, "0"), word((offset / PADDING).cast("bigint"), 8), word(F.when(size < 0, size + (1 << 32)).otherwise(size).cast("bigint"), 8)))
 
 
-@F.pandas_udf(StringType())
-def joined_etag(etags: pd.Series) -> pd.Series:
-    """FNV-1a over the ordered etags of a file's chunks; one chunk keeps its own."""
+def fnv1a(text: Column) -> Column:
+    """FNV-1a of a text of ASCII characters, in hexadecimal without zeros in front.
 
-    def one(parts) -> str:
-        if len(parts) == 1:
-            return parts[0]
-        value = 0xCBF29CE484222325
-        for byte in "".join(parts).encode():
-            value = (value ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return f"{value:x}"
+    The 64-bit value is carried as two halves of 32 bits, whose products fit a
+    signed number; the prime is 2**40 + 0x1B3.
+    """
+    low = F.lit((1 << 32) - 1)
+    half = lambda x, n: x.cast("bigint").alias(n)
 
-    return etags.map(one)
+    def step(h: Column, byte: Column) -> Column:
+        own = h["lo"].bitwiseXOR(byte.cast("bigint"))
+        product = own * 0x1B3
+        return F.struct(half((h["hi"] * 0x1B3 + F.shiftright(product, 32) + F.shiftleft(own, 8)).bitwiseAND(low), "hi"), half(product.bitwiseAND(low), "lo"))
+
+    start = F.struct(half(F.lit(0xCBF29CE4), "hi"), half(F.lit(0x84222325), "lo"))
+    bytes_of = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
+    digits = F.aggregate(bytes_of, start, step, lambda h: F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0")))
+    return F.coalesce(F.nullif(F.lower(F.regexp_replace(digits, "^0+", "")), F.lit("")), F.lit("0"))
+
+
+def joined_etag(etags) -> Column:
+    """FNV-1a over the ordered etags (an array column or its name) of a file's chunks; one chunk keeps its own."""
+    etags = F.col(etags) if isinstance(etags, str) else etags
+    return F.when(F.size(etags) == 1, F.element_at(etags, 1)).otherwise(fnv1a(F.array_join(etags, "")))
 
 
 def folder_option(text: Column) -> dict[str, Column]:

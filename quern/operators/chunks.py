@@ -11,12 +11,21 @@ from quern.operators.keylog import running_sum
 BUCKET = 1 << 20
 
 
+def _runs(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """Neighbouring stretches of one chunk within ``keys`` put together."""
+    line = Window.partitionBy(*keys).orderBy("start")
+    fresh = F.coalesce((F.lag("stop").over(line) < F.col("start")) | (F.lag("fid").over(line) != F.col("fid")), F.lit(True))
+    runs = stretches.withColumn("run", F.sum(fresh.cast("bigint")).over(line))
+    return runs.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("fid").alias("fid"), F.first("offset").alias("offset")).drop("run")
+
+
 def visible(chunks: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(file, start, stop, fid, chunk_offset): which chunk shows at each byte, and where in the chunk that byte is.
 
     Chunks are cut at bucket borders, so a large or hot file is resolved by many
     tasks; within a bucket each stretch between neighbouring borders belongs to
-    the last chunk over it. Stretches of one chunk are then put together again.
+    the last chunk over it, and stretches of one chunk are put together again.
+    Only the two that touch a bucket's borders are put together along a file.
     """
     ends = chunks.where("size > 0").withColumn("stop", F.col("offset") + F.col("size"))
     cut = ends.select("*", F.explode(F.sequence(F.floor(F.col("offset") / bucket), F.floor((F.col("stop") - 1) / bucket))).alias("bucket"))
@@ -26,14 +35,19 @@ def visible(chunks: DataFrame, bucket: int = BUCKET) -> DataFrame:
     pieces = borders.withColumn("stop", F.lead("start").over(here)).where("stop IS NOT NULL")
     over = cut.select("file", "bucket", "lo", "hi", "pos", "fid", "offset")
     won = pieces.join(over, ["file", "bucket"]).where((F.col("lo") <= F.col("start")) & (F.col("hi") >= F.col("stop")))
-    won = won.groupBy("file", "start", "stop").agg(F.max_by(F.struct("fid", "offset"), "pos").alias("x")).select("file", "start", "stop", "x.fid", "x.offset")
-    line = Window.partitionBy("file").orderBy("start")
-    fresh = F.coalesce((F.lag("stop").over(line) < F.col("start")) | (F.lag("fid").over(line) != F.col("fid")), F.lit(True))
-    runs = won.withColumn("fresh", fresh.cast("bigint")).withColumn("run", F.sum("fresh").over(line))
-    out = runs.groupBy("file", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.first("fid").alias("fid"), F.first("offset").alias("offset"))
+    won = won.groupBy("file", "bucket", "start", "stop").agg(F.max_by(F.struct("fid", "offset"), "pos").alias("x")).select("file", "bucket", "start", "stop", "x.fid", "x.offset")
+    runs = _runs(won, ["file", "bucket"])
+    edge = (F.col("start") == F.col("bucket") * bucket) | (F.col("stop") == (F.col("bucket") + 1) * bucket)
+    out = runs.where(~edge).drop("bucket").unionByName(_runs(runs.where(edge).drop("bucket"), ["file"]))
     return out.select("file", "start", "stop", "fid", (F.col("start") - F.col("offset")).alias("chunk_offset"))
 
 
+def range_view(chunks: DataFrame, offset: int, size: int, bucket: int = BUCKET) -> DataFrame:
+    """What ``view`` gives of all visible stretches, resolved from the chunks that reach into the range only."""
+    near = chunks.where((F.col("offset") < offset + size) & (F.col("offset") + F.col("size") > offset))
+    return view(visible(near, bucket), offset, size)
+
+
 def view(shown: DataFrame, offset: int, size: int) -> DataFrame:
     """The visible stretches inside a range of every file, cut to it; holes are simply not there."""
     end = offset + size

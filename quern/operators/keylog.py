@@ -116,10 +116,10 @@ def fold_journal(index: DataFrame, journal: DataFrame) -> DataFrame:
 
 
 def sorted_index(log: DataFrame) -> DataFrame:
-    """Live keys with their places, sorted by key within each partition of volumes."""
+    """Live keys with their places, sorted by volume and key along all partitions, so a large volume fills many."""
     placed = append_offsets(log)
     newest = placed.groupBy("vid", "key").agg(F.max_by(F.struct("op", "offset", "size"), "seq").alias("x")).where("x.op = 'put'")
-    return newest.select("vid", "key", "x.offset", "x.size").repartition("vid").sortWithinPartitions("vid", "key")
+    return newest.select("vid", "key", "x.offset", "x.size").repartitionByRange("vid", "key").sortWithinPartitions("vid", "key")
 
 
 def violations(placed: DataFrame, data_ends: DataFrame) -> DataFrame:

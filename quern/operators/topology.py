@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.keylog import running_sum
+
+#: Free slots of a centre that are looked through together.
+SLOTS = 64
+
 
 def free_slots(slots: Column, volumes: Column, shards: Column | None = None) -> Column:
     """Volumes a node still has room for; ten shards or a part of that take one slot."""
@@ -39,10 +44,19 @@ def growth(copies: Column) -> Column:
     return F.when(copies == 1, 7).when(copies == 2, 6).when(copies == 3, 3).otherwise(1)
 
 
+#: The version of volumes that may still be written.
+VERSION = 2
+
+
 def layout(replicas: DataFrame, copies: int, limit: int) -> DataFrame:
-    """Of each volume: replicas, whether one is read-only or the volume is full, whether it may be written."""
-    seen = replicas.groupBy("collection", "vid").agg(F.countDistinct("node").alias("replicas"), F.bool_or("read_only").alias("read_only"), F.max("size").alias("size"))
-    return seen.withColumn("oversize", F.col("size") >= limit).withColumn("writable", (F.col("replicas") >= copies) & ~F.col("read_only") & ~F.col("oversize"))
+    """Of each volume: replicas, whether one is read-only or the volume is full, whether it may be written.
+
+    Where replicas tell their ``version``, only volumes of the present one are written.
+    """
+    current = F.bool_and(F.col("version") == VERSION) if "version" in replicas.columns else F.lit(True)
+    seen = replicas.groupBy("collection", "vid").agg(F.countDistinct("node").alias("replicas"), F.bool_or("read_only").alias("read_only"), F.max("size").alias("size"), current.alias("__current"))
+    seen = seen.withColumn("oversize", F.col("size") >= limit)
+    return seen.withColumn("writable", (F.col("replicas") >= copies) & ~F.col("read_only") & ~F.col("oversize") & F.col("__current")).drop("__current")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,14 +87,20 @@ def pick(candidates: DataFrame, by: list[str], seed: int) -> DataFrame:
     return candidates.groupBy(*by).agg(F.min_by("vid", F.struct(spread(F.col("vid"), seed), F.col("vid"))).alias("vid"))
 
 
-def reserve(usage: DataFrame, draws: DataFrame) -> DataFrame:
-    """Of each draw (dc, draw): the node whose stretch of the centre's cumulated free slots holds it."""
+def reserve(usage: DataFrame, draws: DataFrame, width: int = SLOTS) -> DataFrame:
+    """Of each draw (dc, draw): the node whose stretch of the centre's cumulated free slots holds it.
+
+    The slots of a centre are cut into buckets of ``width``, so a draw meets the
+    nodes of its bucket only, however many the centre has.
+    """
     order = Window.partitionBy("dc").orderBy("node")
     spans = usage.where("free > 0").withColumn("upto", F.sum("free").over(order)).withColumn("after", F.col("upto") - F.col("free"))
-    own = spans.select(F.col("dc").alias("of_dc"), "node", "after", "upto")
+    bucket = lambda at: F.floor(at / width)
+    own = spans.select(F.col("dc").alias("of_dc"), "node", "after", "upto", F.explode(F.sequence(bucket(F.col("after")), bucket(F.col("upto") - 1))).alias("of_bucket"))
     total = spans.groupBy(F.col("dc").alias("in_dc")).agg(F.sum("free").alias("total"))
-    at = draws.join(total, F.col("dc") == F.col("in_dc")).withColumn("at", F.pmod("draw", "total"))
-    return at.join(own, (F.col("dc") == F.col("of_dc")) & (F.col("at") >= F.col("after")) & (F.col("at") < F.col("upto"))).select("dc", "draw", "node")
+    at = draws.join(total, F.col("dc") == F.col("in_dc")).withColumn("at", F.pmod("draw", "total")).withColumn("bucket", bucket(F.col("at")))
+    same = (F.col("dc") == F.col("of_dc")) & (F.col("bucket") == F.col("of_bucket"))
+    return at.join(own, same & (F.col("at") >= F.col("after")) & (F.col("at") < F.col("upto"))).select("dc", "draw", "node")
 
 
 def heartbeat(volumes: DataFrame) -> DataFrame:
@@ -100,7 +120,23 @@ def held_volumes(replicas: DataFrame) -> DataFrame:
 
 
 def numbered(requests: DataFrame, taken: DataFrame, by: str, order: str) -> DataFrame:
-    """Requests with new ids: from one above the largest taken id of their group, in the order of ``order``."""
+    """Requests with new ids: from one above the largest taken id of their group, in the order of ``order``, a whole number.
+
+    Requests are counted by stretches, so a group with most of them fills many tasks.
+    """
     top = taken.groupBy(by).agg(F.max("id").alias("__top"))
-    line = Window.partitionBy(by).orderBy(order)
-    return requests.join(top, by, "left").withColumn("id", F.coalesce("__top", F.lit(0)) + F.row_number().over(line)).drop("__top")
+    line = running_sum(requests, [by], order, F.lit(1), "__before")
+    return line.join(top, by, "left").withColumn("id", F.coalesce("__top", F.lit(0)) + F.col("__before") + 1).drop("__top", "__before")
+
+
+def sessions(beats: DataFrame, gap: int) -> DataFrame:
+    """(node, first_us, last_us, beats): stretches in which a node (node, us) reported with no pause above ``gap``.
+
+    Reports within one gap of time are one stretch in any case, so they are
+    summed first, and only a row for each gap of time is put in order.
+    """
+    slots = beats.groupBy("node", F.floor(F.col("us") / gap).alias("slot")).agg(F.min("us").alias("lo"), F.max("us").alias("hi"), F.count(F.lit(1)).alias("n"))
+    line = Window.partitionBy("node").orderBy("slot")
+    fresh = F.coalesce(F.col("lo") - F.lag("hi").over(line) > gap, F.lit(True)).cast("bigint")
+    runs = slots.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(line))
+    return runs.groupBy("node", "session").agg(F.min("lo").alias("first_us"), F.max("hi").alias("last_us"), F.sum("n").alias("beats")).drop("session")

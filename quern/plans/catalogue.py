@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import codecs
@@ -98,12 +98,12 @@ def ttl_expired(spark, sf_dir):
     return rows.select("event_id", "ttl", keylog.is_expired(F.col("ttl"), F.col("modified"), now).alias("expired"))
 
 
-@query(f"""WITH {_TIMED}, volumes AS (SELECT user_id % 16 AS vid, ttl, max(modified) AS modified, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS used FROM timed WHERE event_id % 3 = 0 GROUP BY ALL)
+@query(f"""WITH {_TIMED}, volumes AS (SELECT user_id % 16 AS vid, ttl, max(modified) AS modified, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS used FROM timed GROUP BY ALL)
 SELECT vid, ttl, used, ttl > 0 AND used > 0 AND now_s > modified + ttl * 60 AS expired, ttl > 0 AND (ttl + least(ttl // 10, 10)) * 60 + modified < now_s AS removable FROM volumes, clock""")
 def volume_expired(spark, sf_dir):
     rows = _timed(spark, sf_dir)
     now = F.lit(rows.agg(F.max("modified")).first()[0])
-    volumes = rows.where("event_id % 3 = 0").groupBy((F.col("user_id") % 16).alias("vid"), "ttl").agg(F.max("modified").alias("modified"), F.sum(F.floor("value").cast("bigint")).alias("used"))
+    volumes = rows.groupBy((F.col("user_id") % 16).alias("vid"), "ttl").agg(F.max("modified").alias("modified"), F.sum(F.floor("value").cast("bigint")).alias("used"))
     ttl, modified = F.col("ttl"), F.col("modified")
     return volumes.select("vid", "ttl", "used", keylog.volume_expired(ttl, modified, now, F.col("used")).alias("expired"), keylog.removable(ttl, modified, now).alias("removable"))
 
@@ -359,7 +359,7 @@ def visible_intervals(spark, sf_dir):
 
 @query(f"{VISIBLE} SELECT file, greatest(start, 1000) AS start, least(stop, 3000) AS stop, fid, chunk_offset + greatest(start, 1000) - start AS chunk_offset FROM visible WHERE start < 3000 AND stop > 1000")
 def chunk_view(spark, sf_dir):
-    return ch.view(ch.visible(ad.chunks(spark, sf_dir), bucket=512), 1000, 2000)
+    return ch.range_view(ad.chunks(spark, sf_dir), 1000, 2000, bucket=512)
 
 
 @query(f"{VISIBLE} SELECT c.file, c.fid, EXISTS (SELECT 1 FROM visible v WHERE v.file = c.file AND v.fid = c.fid) AS shown FROM chunks c")
@@ -439,7 +439,13 @@ def ec_encode_rebuild(spark, sf_dir):
     return docs.join(parts, "key").select("key", (F.substring(digits, F.lit(1), F.octet_length("body") * 2) == F.hex("body")).alias("same"))
 
 
-@query()
+#: CRC-32 byte by byte over the hexadecimal digits of a text's bytes, with the table of its 256 steps.
+_CRC = """WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+bytes AS (SELECT doc_id, list_transform(range(octet_length(encode(text))), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT)) AS b FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents)),
+crcs AS (SELECT doc_id, CASE WHEN b IS NOT NULL THEN xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c // 256, t[1 + xor(c, x) % 256])), 4294967295) END AS crc FROM bytes, steps)"""
+
+
+@query(f"{_CRC} SELECT doc_id, CASE WHEN crc IS NOT NULL THEN doc_id % 10 <> 0 END AS intact, lpad(lower(to_hex(crc)), 8, '0') AS etag FROM crcs")
 def crc_check(spark, sf_dir):
     """Records whose stored checksum still fits their bytes, and the etag made of it."""
     docs = ad.table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data"))
@@ -447,7 +453,12 @@ def crc_check(spark, sf_dir):
     return docs.select("doc_id", (stored == F.crc32("data")).alias("intact"), codecs.etag_of_crc(F.col("data")).alias("etag"))
 
 
-@query()
+#: FNV-1a over the codes of a text's characters.
+_FNV = "list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(string_split(joined, ''), lambda c: CAST(ascii(c) AS HUGEINT))), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
+
+
+@query(f"""WITH {ad.CHUNKS}, parts AS (SELECT file, count(*) AS parts, string_agg(lower(to_hex(fid)), '' ORDER BY pos) AS joined FROM chunks GROUP BY file)
+SELECT file, parts, CASE WHEN parts = 1 THEN joined ELSE lower(to_hex(CAST({_FNV} AS UBIGINT))) END AS etag FROM parts""")
 def multi_etag(spark, sf_dir):
     """The etag of a file of several chunks, from those of its chunks in order."""
     rows = ad.chunks(spark, sf_dir).withColumn("etag", F.lower(F.hex("fid")))
@@ -461,10 +472,7 @@ SELECT node, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us, count(
 def session_liveness(spark, sf_dir):
     """Stretches in which a node kept reporting at least every half hour."""
     rows = ad.table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("node"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    line = Window.partitionBy("node").orderBy("us")
-    fresh = F.coalesce(F.col("us") - F.lag("us").over(line) > 1_800_000_000, F.lit(True)).cast("bigint")
-    numbered = rows.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(line))
-    return numbered.groupBy("node", "session").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("beats")).drop("session")
+    return topology.sessions(rows, 1_800_000_000)
 
 
 # --- more lookups, ids and headers ---------------------------------------------------------------------------------
@@ -478,9 +486,9 @@ def _held(spark, sf_dir):
     return first.unionByName(rows.where("vid % 4 = 0").select("vid", "shard", ((F.col("vid") * 5 + F.col("shard")) % 23).alias("node")))
 
 
-@query(f"WITH {_HELD}, known AS (SELECT vid, shard, array_to_string(list_sort(list_distinct(list(node))), ',') AS nodes FROM held GROUP BY ALL) SELECT w.vid, w.shard, coalesce(nodes, '') AS nodes FROM (SELECT DISTINCT o_custkey AS vid, unnest(range(0, 14)) AS shard FROM orders WHERE o_orderkey % 3 = 0) w LEFT JOIN known USING (vid, shard)")
+@query(f"WITH {_HELD}, known AS (SELECT vid, shard, array_to_string(list_sort(list_distinct(list(node))), ',') AS nodes FROM held GROUP BY ALL) SELECT w.vid, w.shard, coalesce(nodes, '') AS nodes FROM (SELECT DISTINCT o_custkey AS vid, unnest(range(0, 14)) AS shard FROM orders) w LEFT JOIN known USING (vid, shard)")
 def ec_lookup(spark, sf_dir):
-    wanted = ad.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("vid"))
+    wanted = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("vid"))
     return erasure.lookup(_held(spark, sf_dir), wanted)
 
 
@@ -502,9 +510,9 @@ def freest_disk(spark, sf_dir):
     return topology.freest(_usage(spark, sf_dir).withColumnRenamed("node", "disk"), ["dc", "rack"])
 
 
-@query("SELECT o_orderkey AS request, o_custkey % 5 AS collection, coalesce(top, 0) + row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS id FROM orders LEFT JOIN (SELECT c_custkey % 5 AS g, max(c_custkey * 10) AS top FROM customer WHERE c_custkey % 5 <> 2 GROUP BY 1) ON g = o_custkey % 5 WHERE o_orderstatus = 'P'")
+@query("SELECT o_orderkey AS request, o_custkey % 5 AS collection, coalesce(top, 0) + row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS id FROM orders LEFT JOIN (SELECT c_custkey % 5 AS g, max(c_custkey * 10) AS top FROM customer WHERE c_custkey % 5 <> 2 GROUP BY 1) ON g = o_custkey % 5")
 def assigned_ids(spark, sf_dir):
-    asked = ad.table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("request"), (F.col("o_custkey") % 5).alias("collection"))
+    asked = ad.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), (F.col("o_custkey") % 5).alias("collection"))
     taken = ad.table(spark, sf_dir, "customer").where("c_custkey % 5 <> 2").select((F.col("c_custkey") % 5).alias("collection"), (F.col("c_custkey") * 10).alias("id"))
     return topology.numbered(asked, taken, "collection", "request")
 
