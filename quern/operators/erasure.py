@@ -130,19 +130,120 @@ def encode(stripes: DataFrame) -> DataFrame:
 
 
 def rebuild(shards: DataFrame) -> DataFrame:
-    """All fourteen blocks of each key that still has ten (key, shard, block); keys with fewer give no row."""
+    """All fourteen blocks of each key that still has ten (key, shard, block); keys with fewer give no row.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("shard").sort_values("shard")
-        if len(pdf) < DATA:
-            return pd.DataFrame({"key": [], "shard": [], "block": []})
-        have = pdf.iloc[:DATA]
-        blocks = np.stack([np.frombuffer(bytes(b), np.uint8) for b in have["block"]])
-        data = combine(invert(coding_matrix()[have["shard"].to_numpy()]), blocks)
+    Rows of a key are sorted next to each other by Spark; a task goes along
+    them and holds one key at a time.
+    """
+
+    def whole(key: int, have: dict[int, bytes]) -> pd.DataFrame | None:
+        if len(have) < DATA:
+            return None
+        rows = sorted(have)[:DATA]
+        blocks = np.stack([np.frombuffer(have[r], np.uint8) for r in rows])
+        data = combine(invert(coding_matrix()[rows]), blocks)
         every = np.concatenate([data, combine(coding_matrix()[DATA:], data)])
-        return pd.DataFrame({"key": int(pdf["key"].iloc[0]), "shard": range(TOTAL), "block": [b.tobytes() for b in every]})
+        return pd.DataFrame({"key": key, "shard": range(TOTAL), "block": [b.tobytes() for b in every]})
+
+    def run(batches):
+        now, have = None, {}
+        for pdf in batches:
+            for key, shard, block in zip(pdf["key"], pdf["shard"], pdf["block"]):
+                if key != now:
+                    if (out := whole(now, have)) is not None:
+                        yield out
+                    now, have = key, {}
+                have.setdefault(shard, bytes(block))
+        if (out := whole(now, have)) is not None:
+            yield out
+
+    rows = shards.select("key", "shard", "block").where("key IS NOT NULL")
+    return rows.repartition("key").sortWithinPartitions("key", "shard").mapInPandas(run, "key bigint, shard bigint, block binary")
+
+
+def apply_delta(state: DataFrame, new: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bits): shards that came added to each key's bits, those that went taken off; keys left without any go."""
+    bits = lambda df, name: df.select(*keys, F.col("bits").alias(name))
+    both = state.join(bits(new, "__new"), keys, "full").join(bits(gone, "__gone"), keys, "left")
+    zero = F.lit(0).cast("bigint")
+    left = (F.coalesce("bits", zero)).bitwiseOR(F.coalesce("__new", zero)).bitwiseAND(F.bitwise_not(F.coalesce("__gone", zero)))
+    return both.select(*keys, left.alias("bits")).where("bits <> 0")
+
+
+def shard_nodes(held: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """(vid, shard, nodes): the nodes (in order, each once) that hold a shard, without those that gave it up (vid, shard, node)."""
+    left = held if gone is None else held.join(gone.select("vid", "shard", "node").distinct(), ["vid", "shard", "node"], "left_anti")
+    return left.groupBy("vid", "shard").agg(F.array_join(F.transform(F.array_sort(F.collect_set("node")), lambda n: n.cast("string")), ",").alias("nodes"))
+
+
+def shards_by_node(held: DataFrame) -> DataFrame:
+    """(node, vid, bits): what each node reports of its shards."""
+    return shard_bits(held, ["node", "vid"])
+
+
+def without(shards: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shards (vid, shard) that stay when others are deleted, and the volumes that have none left, whose index and journal go too."""
+    left = shards.join(gone.select("vid", "shard").distinct(), ["vid", "shard"], "left_anti")
+    return left, shards.select("vid").distinct().join(left.select("vid").distinct(), "vid", "left_anti")
+
 
-    return shards.groupBy("key").applyInPandas(run, "key bigint, shard bigint, block binary")
+def index_of(sorted_index: DataFrame, journal: DataFrame) -> DataFrame:
+    """(vid, key, offset, size): an index log again, the sorted index and a tombstone for each key of the journal."""
+    gone = journal.select("vid", "key").distinct().select("vid", "key", F.lit(0).cast("bigint").alias("offset"), F.lit(-1).cast("bigint").alias("size"))
+    return sorted_index.select("vid", "key", "offset", "size").unionByName(gone)
+
+
+def stripes(pieces: DataFrame, large: int = LARGE, small: int = SMALL) -> DataFrame:
+    """(vid, shard, shard_offset, data): the bytes of pieces (vid, volume_size, offset, data) on the ten data shards, by the layout of ``intervals``."""
+    cut = intervals(pieces.withColumn("size", F.octet_length("data").cast("bigint")), large, small)
+    return cut.select("vid", "volume_size", "shard", "shard_offset", F.substring(F.col("data"), (F.col("range_offset") + 1).cast("int"), F.col("length").cast("int")).alias("data"))
+
+
+def shard_size(volume_size: Column, large: int = LARGE, small: int = SMALL) -> Column:
+    """Bytes of each shard of a volume, the last small row filled with zeros."""
+    rows = large_rows(volume_size, large)
+    return (rows * large + F.ceil((volume_size - rows * DATA * large) / (DATA * small)) * small).cast("bigint")
+
+
+def encode_volumes(pieces: DataFrame, large: int = LARGE, small: int = SMALL, span: int = SMALL) -> DataFrame:
+    """(vid, volume_size, span, shard, block): all fourteen shards of volumes, in blocks of ``span`` bytes.
+
+    ``span`` is a multiple of the small block or divides it. The bytes of ten
+    data shards at one stretch of places meet in one group, ten times ``span``
+    bytes, and four parity blocks are added.
+    """
+    cut = stripes(pieces, large, small)
+    inside = F.sequence(F.floor(F.col("shard_offset") / span), F.floor((F.col("shard_offset") + F.octet_length("data") - 1) / span))
+    cut = cut.select("*", F.explode(inside).alias("span"))
+    low, high = F.greatest(F.col("shard_offset"), F.col("span") * span), F.least(F.col("shard_offset") + F.octet_length("data"), (F.col("span") + 1) * span)
+    cut = cut.select("vid", "volume_size", "span", "shard", (low - F.col("span") * span).alias("at"), F.substring(F.col("data"), (low - F.col("shard_offset") + 1).cast("int"), (high - low).cast("int")).alias("data"), F.least(F.lit(span).cast("bigint"), shard_size(F.col("volume_size"), large, small) - F.col("span") * span).alias("width"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros((DATA, int(pdf["width"].iloc[0])), np.uint8)
+        for shard, at, piece in zip(pdf["shard"], pdf["at"], pdf["data"]):
+            data[shard, at : at + len(piece)] = np.frombuffer(bytes(piece), np.uint8)
+        blocks = np.concatenate([data, combine(coding_matrix()[DATA:], data)])
+        return pd.DataFrame({"vid": int(pdf["vid"].iloc[0]), "volume_size": int(pdf["volume_size"].iloc[0]), "span": int(pdf["span"].iloc[0]), "shard": range(TOTAL), "block": [b.tobytes() for b in blocks]})
+
+    return cut.groupBy("vid", "span").applyInPandas(run, "vid bigint, volume_size bigint, span bigint, shard bigint, block binary")
+
+
+def volume_pieces(blocks: DataFrame, large: int = LARGE, small: int = SMALL, span: int = SMALL) -> DataFrame:
+    """(vid, offset, data): the volume's bytes again, from the blocks (vid, volume_size, span, shard, block) of its data shards.
+
+    A block is cut where the layout goes on to another row, and padding goes.
+    """
+    rows = blocks.where(F.col("shard") < DATA).withColumn("edge", large_rows(F.col("volume_size"), large) * large).withColumn("start", F.col("span") * span)
+    width = F.when(F.col("start") < F.col("edge"), F.lit(large)).otherwise(F.lit(small))
+    # A span lies in large rows or in small ones if it divides both; a wider one is cut at small blocks.
+    unit = min(span, small)
+    cut = rows.select("*", width.alias("width"), F.explode(F.sequence(F.lit(0).cast("bigint"), (F.octet_length("block") - 1).cast("bigint"), F.lit(unit).cast("bigint"))).alias("within"))
+    at = F.col("start") + F.col("within")
+    big = at < F.col("edge")
+    offset = F.when(big, (F.floor(at / large) * DATA + F.col("shard")) * large + at % large).otherwise(F.col("edge") * DATA + (F.floor((at - F.col("edge")) / small) * DATA + F.col("shard")) * small + (at - F.col("edge")) % small)
+    cut = cut.withColumn("offset", offset.cast("bigint"))
+    length = F.least(F.lit(unit).cast("bigint"), F.col("volume_size") - F.col("offset"), F.octet_length("block") - F.col("within"))
+    return cut.where("offset < volume_size").select("vid", "offset", F.substring(F.col("block"), (F.col("within") + 1).cast("int"), length.cast("int")).alias("data"))
 
 
 def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:

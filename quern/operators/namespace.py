@@ -44,3 +44,32 @@ def upsert(tree: DataFrame, entries: DataFrame) -> DataFrame:
     old = tree.select("path", F.col("crtime").alias("__crtime"))
     new = entries.join(old, "path", "left").withColumn("crtime", F.coalesce("__crtime", "crtime")).drop("__crtime")
     return tree.join(entries.select("path"), "path", "left_anti").unionByName(new)
+
+
+def get(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(path, is_directory, found) of wanted paths; the root is always there."""
+    own = wanted.select("path").distinct().join(tree.select("path", "is_directory", F.lit(True).alias("__there")), "path", "left")
+    root = F.col("path") == "/"
+    return own.select("path", F.coalesce("is_directory", root).alias("is_directory"), (root | F.coalesce("__there", F.lit(False))).alias("found"))
+
+
+def create(tree: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new tree, conflicts, unused chunks) of putting entries (path, is_directory, mtime, crtime, chunks) into a tree of the same columns.
+
+    An entry below a file, be it there or put at the same time, is a conflict
+    and isn't put. Directories above that are missing are made with the time of
+    the first entry below them. An entry that was there keeps its time of
+    creation, and the chunks that its new version no longer has are unused.
+    """
+    above = entries.select("path", "mtime", F.explode(codecs.ancestors(F.col("path"))).alias("up"))
+    files = tree.where("NOT is_directory").select(F.col("path").alias("up")).union(entries.where("NOT is_directory").select(F.col("path").alias("up"))).distinct()
+    conflicts = above.join(files, "up", "left_semi").select("path").distinct()
+    fine = entries.join(conflicts, "path", "left_anti")
+    made = above.where("up <> '/'").join(conflicts, "path", "left_anti").groupBy(F.col("up").alias("path")).agg(F.min("mtime").alias("mtime"))
+    made = made.join(tree.select("path"), "path", "left_anti").join(fine.select("path"), "path", "left_anti")
+    made = made.select("path", F.lit(True).alias("is_directory"), "mtime", F.col("mtime").alias("crtime"), F.array().cast("array<string>").alias("chunks"))
+    old = tree.select("path", F.col("crtime").alias("__crtime"), F.col("chunks").alias("__chunks"))
+    new = fine.join(old, "path", "left").withColumn("crtime", F.coalesce("__crtime", "crtime"))
+    unused = new.select("path", F.explode(F.array_except("__chunks", "chunks")).alias("chunk"))
+    rest = tree.join(fine.select("path"), "path", "left_anti")
+    return rest.unionByName(made).unionByName(new.drop("__crtime", "__chunks")), conflicts, unused

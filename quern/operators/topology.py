@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import codecs
 from quern.operators.keylog import running_sum
 
 #: Free slots of a centre that are looked through together.
@@ -39,6 +40,129 @@ def placements(usage: DataFrame, racks: int, nodes: int) -> DataFrame:
     return usage.where("free >= 1").join(good_rack, ["dc", "rack"], "left_semi").join(good_dc, "dc", "left_semi").select("dc", "rack", "node", "free")
 
 
+def _rotated(ids: Column, seed: Column) -> Column:
+    """The array from the place that ``seed`` names on, around its end."""
+    n = F.size(ids)
+    at = F.pmod(seed, F.greatest(n, F.lit(1))).cast("int")
+    return F.concat(F.slice(ids, at + 1, n), F.slice(ids, F.lit(1), at))
+
+
+def place(usage: DataFrame, requests: DataFrame, centres: int, racks: int, nodes: int) -> DataFrame:
+    """(request, nth, node): the nodes of a volume's copies for requests (request, seed), the main copy first.
+
+    A main centre, rack and node are drawn from those of ``placements``; the
+    rest of the rack's copies, the other racks and the other centres from all
+    that have room, and in each of these a node by its free slots. ``seed``
+    stands for chance. A request gets no row where any draw has too few to
+    draw from.
+    """
+    able = placements(usage, racks, nodes)
+    room = usage.where("free >= 1")
+    ids = lambda c: F.array_sort(F.collect_set(c))
+    main_dcs, all_dcs = able.agg(ids("dc").alias("main_dcs")), room.agg(ids("dc").alias("all_dcs"))
+    main_racks, all_racks = able.groupBy("dc").agg(ids("rack").alias("main_racks")), room.groupBy("dc").agg(ids("rack").alias("all_racks"))
+    all_nodes = room.groupBy("dc", "rack").agg(ids("node").alias("all_nodes"))
+    # The lists of a level are as small as the cluster; requests are as many as they like.
+    draw = lambda k: spread(F.col("seed"), k)
+    main = lambda name, k: F.get(_rotated(F.col(name), draw(k)), F.lit(0))
+    others = lambda name, own, k, n: F.slice(_rotated(F.array_remove(F.col(name), F.col(own)), draw(k)), 1, n)
+    rows = requests.join(F.broadcast(main_dcs)).join(F.broadcast(all_dcs)).withColumn("dc", main("main_dcs", 1)).withColumn("dcs", others("all_dcs", "dc", 2, centres))
+    rows = rows.join(main_racks, "dc").join(all_racks, "dc").withColumn("rack", main("main_racks", 3)).withColumn("racks", others("all_racks", "rack", 4, racks))
+    rows = rows.join(all_nodes, ["dc", "rack"]).withColumn("node", main("all_nodes", 5)).withColumn("nodes", others("all_nodes", "node", 6, nodes))
+    rows = rows.where((F.size("dcs") == centres) & (F.size("racks") == racks) & (F.size("nodes") == nodes)).select("request", "seed", "dc", "rack", "node", "dcs", "racks", "nodes")
+    own = rows.select("request", F.posexplode(F.concat(F.array("node"), "nodes")).alias("nth", "node"))
+    group = lambda dc, rack: F.concat(dc, F.lit("/"), rack)
+    # Other racks and centres draw a free slot, all at once.
+    slots = usage.select(group(F.col("dc"), F.col("rack")).alias("dc"), "node", "free").unionByName(usage.select(F.col("dc").alias("dc"), "node", "free"))
+    far = rows.select("request", "seed", F.posexplode(F.concat(F.transform("racks", lambda r: group(F.col("dc"), r)), "dcs")).alias("at", "group"))
+    far = far.select("request", (F.col("at") + 1 + nodes).alias("nth"), F.col("group").alias("dc"), spread(F.col("seed"), F.col("at") + 7).alias("draw"))
+    drawn = reserve(slots, far.select("dc", "draw").distinct())
+    return own.unionByName(far.join(drawn, ["dc", "draw"]).select("request", "nth", "node"))
+
+
+def grow(usage: DataFrame, requests: DataFrame, first_vid: int, centres: int, racks: int, nodes: int) -> DataFrame:
+    """(request, vid, node): new volumes for requests (request, seed), as many as ``growth`` says, with a row for each copy.
+
+    Ids follow each other in the order of ``request``, a whole number.
+    """
+    count = growth(F.lit(centres + racks + nodes + 1))
+    made = requests.select("request", "seed", F.explode(F.sequence(F.lit(1).cast("bigint"), count.cast("bigint"))).alias("n"))
+    made = running_sum(made.withColumn("one", F.lit(0)).withColumn("place", F.col("request") * 8 + F.col("n")), ["one"], "place", F.lit(1), "before")
+    made = made.select("request", (F.col("before") + first_vid).alias("vid"), (F.col("seed") * 8 + F.col("n")).alias("seed"))
+    placed = place(usage, made.select(F.col("vid").alias("request"), "seed"), centres, racks, nodes)
+    return made.select("request", "vid").join(placed.select(F.col("request").alias("vid"), "node"), "vid").select("request", "vid", "node")
+
+
+def in_scope(replicas: DataFrame, dc: str = "", rack: str = "", node: int | None = None) -> DataFrame:
+    """Replicas (dc, rack, node, ...) within a centre, and within a rack and node of it if these are named too."""
+    if not dc:
+        return replicas
+    out = replicas.where(F.col("dc") == dc)
+    out = out.where(F.col("rack") == rack) if rack else out
+    return out if node is None else out.where(F.col("node") == node)
+
+
+def assign(requests: DataFrame, writable: DataFrame, taken: DataFrame, by: str) -> DataFrame:
+    """(request, fid): a new file id in a writable volume (vid) of the request's group, null where there is none.
+
+    The volume is drawn by the request's number, the key is the next above the
+    largest taken ``id`` of the group, and the cookie is drawn too.
+    """
+    open_ = writable.groupBy(by).agg(F.array_sort(F.collect_set("vid")).alias("__vids"))
+    rows = numbered(requests, taken, by, "request").join(open_, by, "left")
+    vid = F.get(_rotated(F.col("__vids"), spread(F.col("request"), 11)), F.lit(0))
+    cookie = spread(F.col("request"), 12) * 4099 + 1
+    return rows.select("request", codecs.format_fid(vid, F.col("id"), cookie).alias("fid"))
+
+
+def file_urls(fids: DataFrame, replicas: DataFrame) -> DataFrame:
+    """File ids (fid) with the address (url) to read them at, on one of the volume's nodes (vid, node, url); null where it is unknown."""
+    parsed = codecs.parse_fid(F.col("fid"))
+    rows = fids.select("fid", parsed["vid"].alias("vid"), F.pmod(parsed["key"], F.lit(1_000_003)).cast("bigint").alias("__key")).distinct()
+    both = rows.join(replicas.select("vid", "node", "url"), "vid", "left")
+    one = both.groupBy("fid").agg(F.min_by("url", F.struct(spread(F.col("node") + F.col("__key"), 13), F.col("node"))).alias("__url"))
+    return one.select("fid", F.concat(F.lit("http://"), "__url", F.lit("/"), "fid").alias("url"))
+
+
+def known_locations(replicas: DataFrame, wanted: DataFrame) -> DataFrame:
+    """As ``locations``, without the volumes that are unknown."""
+    return locations(replicas, wanted).where("error IS NULL").drop("error")
+
+
+def availability(layouts: DataFrame, copies: int) -> DataFrame:
+    """Layout rows with ``state``: available with just as many replicas as asked for, unavailable with fewer."""
+    return layouts.withColumn("state", F.when(F.col("replicas") == copies, "available").when(F.col("replicas") < copies, "unavailable").otherwise("surplus"))
+
+
+def read_only(replicas: DataFrame, volumes: DataFrame) -> DataFrame:
+    """Replicas of which those of ``volumes`` (vid) may no longer be written."""
+    marked = volumes.select("vid").distinct().withColumn("__marked", F.lit(True))
+    return replicas.join(marked, "vid", "left").withColumn("read_only", F.col("read_only") | F.coalesce("__marked", F.lit(False))).drop("__marked")
+
+
+def unregister(replicas: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Replicas without those on the nodes that left (node)."""
+    return replicas.join(nodes.select("node").distinct(), "node", "left_anti")
+
+
+def topology_map(nodes: DataFrame) -> DataFrame:
+    """(dc, racks): each centre's racks with their nodes, in order."""
+    by_rack = nodes.groupBy("dc", "rack").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    text = F.concat(F.col("rack"), F.lit(":"), F.array_join(F.transform("nodes", lambda n: n.cast("string")), ","))
+    return by_rack.groupBy("dc").agg(F.array_join(F.array_sort(F.collect_list(text)), ";").alias("racks"))
+
+
+def first_disk(volumes: DataFrame) -> DataFrame:
+    """Of each volume (vid, disk, pos) the first disk that has it."""
+    return volumes.groupBy("vid").agg(F.min_by("disk", F.struct("pos", "disk")).alias("disk"))
+
+
+def upserted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The newest row of each key: a replica that reports again replaces what it said before."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("x")).select(*keys, "x.*")
+
+
 def growth(copies: Column) -> Column:
     """Logical volumes made at once for a number of copies."""
     return F.when(copies == 1, 7).when(copies == 2, 6).when(copies == 3, 3).otherwise(1)
@@ -77,7 +201,7 @@ def locations(replicas: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("vid").distinct().join(known, "vid", "left").withColumn("error", F.when(F.col("nodes").isNull(), F.lit("volume not found")))
 
 
-def spread(vid: Column, seed: int) -> Column:
+def spread(vid: Column, seed: int | Column) -> Column:
     """A deterministic number that stands in for a random one."""
     return F.pmod(vid * 7919 + seed * 104729, F.lit(1_000_003))
 
