@@ -70,3 +70,69 @@ def test_streaming_replay(spark, tmp_path):
     query.awaitTermination(120)
     got = {(r.vid, r.key): (r.seq, r.op) for r in spark.table("replayed").collect()}
     assert got == {(r.vid, r.key): (r.seq, r.op) for r in keylog.latest(df).collect()}
+
+
+RECORDS = [(4 + i % 2, i, i + 1, i * 3, bytes([i]) * (i * 5 % 23 + 1), f"n{i}" if i % 2 else None, "text/plain" if i % 3 else None, 1700000000 + i if i % 4 else None, 3 if i % 5 == 0 else None, 2 if i % 5 == 0 else None, None, 0) for i in range(40)]
+RECORD = "vid bigint, seq bigint, key bigint, cookie bigint, data binary, name string, mime string, last_modified bigint, ttl_count int, ttl_unit int, pairs string, flags int"
+
+
+def test_sinks_write_what_the_sources_read(spark, tmp_path):
+    logs.register(spark)
+    rows = spark.createDataFrame(RECORDS, RECORD)
+    logs.by_volume(rows.repartition(3)).write.format("needle_data").mode("append").save(str(tmp_path))
+    back = spark.read.format("needle_data").load(str(tmp_path))
+    want = sorted((v, k, c, bytes(d), t) for v, _, k, c, d, _, _, _, t, _, _, _ in RECORDS)
+    assert sorted((r.vid, int(r.key), r.cookie, bytes(r.data), r.ttl_count) for r in back.collect()) == want and {r.intact for r in back.collect()} == {True}
+    index = back.select("vid", "seq", "key", "offset", "size")
+    logs.by_volume(index).write.format("needle_index").mode("append").save(str(tmp_path))
+    read = spark.read.format("needle_index").load(str(tmp_path))
+    assert sorted(map(tuple, read.select("vid", "seq", "key", "offset", "size").collect())) == sorted(map(tuple, index.collect()))
+    logs.by_volume(read.where("seq < 3")).select("vid", "seq", "key").write.format("needle_journal").mode("append").save(str(tmp_path))
+    assert spark.read.format("needle_journal").load(str(tmp_path)).count() == 6
+    assert {(r.collection, r.vid) for r in logs.discovered(spark, str(tmp_path)).collect()} == {("", 4), ("", 5)}
+    # What is there isn't written over, and nothing is left of the attempt.
+    try:
+        logs.by_volume(index).write.format("needle_index").mode("append").save(str(tmp_path))
+        raise AssertionError("written twice")
+    except Exception as e:
+        assert "there already" in str(e)
+    assert not [x for x in tmp_path.iterdir() if x.name.startswith(".")]
+
+
+def test_records_are_read_by_their_place_and_checked(spark, tmp_path):
+    logs.register(spark)
+    logs.by_volume(spark.createDataFrame(RECORDS, RECORD)).write.format("needle_data").mode("append").save(str(tmp_path))
+    index = spark.read.format("needle_data").load(str(tmp_path)).select("vid", "seq", "key", "offset", "size").cache()
+    asked = index.where("seq % 3 = 1")
+    got = {(r.vid, int(r.key)): bytes(r.data) for r in logs.fetch(asked, str(tmp_path)).collect()}
+    assert got == {(v, k): d for v, _, k, _, d, *_ in RECORDS if (v, k) in {(r.vid, int(r.key)) for r in asked.collect()}} and len(got) > 10
+    assert logs.fetch(spark.createDataFrame([(9, 8), (4, 10**9)], "vid bigint, offset bigint"), str(tmp_path)).count() == 0
+    assert logs.integrity(index, str(tmp_path)).count() == 0
+    last = index.where("vid = 4").orderBy(F.desc("seq")).first()
+    path = tmp_path / "4.dat"
+    raw = bytearray(path.read_bytes())
+    raw[last.offset + 16 + 4] ^= 1  # a byte of its data
+    path.write_bytes(raw)
+    assert [(r.vid, r.reason) for r in logs.integrity(index, str(tmp_path)).collect()] == [(4, "checksum")]
+    path.write_bytes(raw[: last.offset + 5])
+    assert [(r.vid, r.reason) for r in logs.integrity(index, str(tmp_path)).collect()] == [(4, "unreadable")]
+    wrong = index.withColumn("key", F.when((F.col("vid") == 5) & (F.col("seq") == 19), F.col("key") + 1).otherwise(F.col("key")).cast("decimal(20,0)"))
+    assert {(r.vid, r.reason) for r in logs.integrity(wrong, str(tmp_path)).collect()} == {(4, "unreadable"), (5, "other key")}
+
+
+def test_shards_and_information_files_are_found(spark, tmp_path):
+    for shard in (0, 3, 13):
+        (tmp_path / f"pics_7.ec{shard:02d}").write_bytes(b"x" * 40)
+    (tmp_path / "pics_7.ecx").write_bytes(bytes(16))
+    (tmp_path / "8.ec01").write_bytes(b"y")  # without an index
+    assert [tuple(r) for r in logs.discovered_shards(spark, str(tmp_path)).collect()] == [("pics", 7, 1 | 1 << 3 | 1 << 13, 3, 40, True)]
+    shards = spark.createDataFrame([(7, 0, bytes(range(40)))], "vid bigint, shard bigint, content binary")
+    wanted = spark.createDataFrame([(1, 7, 0, 5, 20), (2, 7, 0, 30, 99), (3, 7, 0, 40, 5)], "request bigint, vid bigint, shard bigint, offset bigint, size bigint")
+    got = {}
+    for r in logs.shard_ranges(shards, wanted, buffer=8).orderBy("request", "nth").collect():
+        got[r.request] = got.get(r.request, b"") + bytes(r.data)
+    assert got == {1: bytes(range(5, 25)), 2: bytes(range(30, 40))}
+    info = spark.createDataFrame([(7, [("s3", "a", "k", 0, 9, 1, ".dat")], 2, "001"), (8, [], 2, "000")], f"vid bigint, {logs.VOLUME_INFO}")
+    for r in logs.encode_volume_info(info).collect():
+        (tmp_path / f"{r.vid}.vif").write_text(r.content)
+    assert [tuple(r) for r in logs.volume_info(spark, str(tmp_path)).collect()] == [tuple(info.first())]
