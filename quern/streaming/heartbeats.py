@@ -1,74 +1,135 @@
-"""Cluster state from a stream of heartbeats.
+"""Cluster state from a stream of heartbeats, and other loops over streams.
 
 A heartbeat is (node, ts, vids): all volumes that a node holds at a time. The
-state (node, vid) lives in a Parquet table; every micro-batch takes each node's
-last snapshot and replaces that node's rows, and gives what came and went.
+state (node, vid) lives in Parquet tables, in parts by a hash of the node; every
+micro-batch takes each node's last snapshot, rewrites the parts of these nodes,
+and gives what came and went. Nodes that stay silent are dropped.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
+from quern.operators import keylog
 from quern.operators.topology import apply_delta, snapshot_diff
 
-STATE = "node bigint, vid bigint"
+STATE = "node bigint, vid bigint, ts bigint"
+#: Parts of the state; a micro-batch rewrites those of the nodes that it hears from.
+PARTS = 64
 
 
-def apply_snapshots(state: DataFrame, beats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new state, changes) of a batch of heartbeats; nodes that sent none keep their volumes."""
-    last = beats.groupBy("node").agg(F.max_by("vids", "ts").alias("vids"))
-    now = last.select("node", F.explode("vids").alias("vid"))
-    before = state.join(last.select("node"), "node", "left_semi")
+def apply_snapshots(state: DataFrame, beats: DataFrame, silent: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new state, changes) of a batch of heartbeats; nodes that sent none keep their volumes.
+
+    With ``silent``, nodes whose last heartbeat is longer ago than that, counted
+    back from the newest of the batch, lose them.
+    """
+    last = beats.groupBy("node").agg(F.max_by("vids", "ts").alias("vids"), F.max("ts").alias("ts"))
+    now = last.select("node", F.explode("vids").alias("vid"), "ts").dropDuplicates(["node", "vid"])
+    heard = last.select("node")
+    if silent is not None:
+        newest = beats.agg(F.max("ts").alias("__newest"))
+        heard = heard.union(state.join(F.broadcast(newest)).where(F.col("ts") < F.col("__newest") - silent).select("node")).distinct()
+    before = state.join(heard, "node", "left_semi")
     return apply_delta(state, now, before, ["node", "vid"]), snapshot_diff(before, now, ["node", "vid"])
 
 
-def follow(beats: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Keep the state of a heartbeat stream in ``folder``/state/<version>, changes in ``folder``/changes.
+def _part(parts: int):
+    return F.pmod(F.hash("node"), F.lit(parts))
+
 
-    A version is written anew by each micro-batch under its number, so a batch
-    that runs again after a failure writes the same again.
+def follow(beats: DataFrame, folder: str, checkpoint: str, silent: int | None = None, parts: int = PARTS) -> StreamingQuery:
+    """Keep the state of a heartbeat stream in ``folder``/state/<part>/<version>, changes in ``folder``/changes.
+
+    A micro-batch writes the parts it touches under its number, so a batch that
+    runs again after a failure writes the same again; of each part the version
+    before is kept for that, and older ones are removed. With ``silent`` every
+    part is looked through for nodes that no longer send.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = read_state(spark, folder, before=number)
-        new, changes = apply_snapshots(state, batch)
+        touched = None if silent is not None else sorted(r[0] for r in batch.select(_part(parts)).distinct().collect())  # PARTS at most
+        if touched == []:
+            return
+        state = _state(spark, folder, number, touched)
+        new, changes = apply_snapshots(state, batch, silent)
         changes.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
-        new.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        rows = new.withColumn("part", _part(parts)).withColumn("version", F.lit(number))
+        if touched is None:
+            touched = sorted(_versions(spark, folder) | dict.fromkeys(r[0] for r in batch.select(_part(parts)).distinct().collect()))
+        marks = spark.createDataFrame([(None, None, None, p, number) for p in touched], f"{STATE}, part int, version bigint")  # a part without nodes has a version too
+        rows.unionByName(marks).repartition("part").write.partitionBy("part", "version").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/state")
+        for part, versions in _versions(spark, folder).items():
+            for old in [v for v in versions if v < number][:-1]:
+                _path(spark, f"{folder}/state/part={part}/version={old}", delete=True)
 
     return beats.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
-    """The newest state, or the one before a batch; empty if there is none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+def _path(spark: SparkSession, name: str, delete: bool = False) -> list[str]:
+    """Names in a folder, none if it isn't there; or the folder removed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = [int(x.getPath().getName()) for x in system.listStatus(path)] if system.exists(path) else []
-    versions = [v for v in versions if before is None or v < before]
-    if not versions:
+    if delete:
+        system.delete(path, True)
+        return []
+    return [x.getPath().getName() for x in system.listStatus(path)] if system.exists(path) else []
+
+
+def _versions(spark: SparkSession, folder: str) -> dict[int, list[int]]:
+    """Versions of each part, in order."""
+    told = lambda names, key: sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{key}="))
+    return {p: told(_path(spark, f"{folder}/state/part={p}"), "version") for p in told(_path(spark, f"{folder}/state"), "part")}
+
+
+def _state(spark: SparkSession, folder: str, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
+    newest = {p: [v for v in versions if before is None or v < before][-1:] for p, versions in _versions(spark, folder).items() if parts is None or p in parts}
+    paths = [f"{folder}/state/part={p}/version={v[0]}" for p, v in newest.items() if v]
+    if not paths:
         return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).parquet(f"{folder}/state/{max(versions)}")
+    return spark.read.schema(STATE).parquet(*paths).where("node IS NOT NULL")
+
+
+def read_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The newest state (node, vid), or the one before a batch; empty if there is none."""
+    return _state(spark, folder, before).select("node", "vid")
 
 
 def live_keys(log: DataFrame) -> DataFrame:
     """Streaming replay of a key log (vid, key, seq, op, size): after each batch the newest row of the keys it touched."""
+    last = log.groupBy("vid", "key").agg(F.max_by(F.struct("seq", "op", "size"), "seq").alias("last"))
+    return last.select("vid", "key", "last.*")
+
+
+def vacuum_loop(ticks: DataFrame, read_log: Callable[[], DataFrame], folder: str, checkpoint: str, threshold: float = keylog.GARBAGE_THRESHOLD) -> StreamingQuery:
+    """At each tick of a stream, compact the volumes whose garbage is above ``threshold``.
 
-    def latest(key: tuple, batches, state):
-        known = json.loads(state.get[0]) if state.exists else None
-        for pdf in batches:
-            row = pdf.loc[pdf["seq"].idxmax()]
-            if known is None or row["seq"] > known["seq"]:
-                known = {"seq": int(row["seq"]), "op": str(row["op"]), "size": int(row["size"])}
-        state.update((json.dumps(known),))
-        yield pd.DataFrame({"vid": [key[0]], "key": [key[1]], **{k: [v] for k, v in known.items()}})
+    The compacted records of a round are written to ``folder``/batch=<number>
+    as a whole, a volume's rows under vid=<vid>; whoever reads the volumes takes
+    the newest that has one.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        log = read_log()
+        chosen = log.join(keylog.vacuum_candidates(log, threshold).select("vid"), "vid", "left_semi")
+        keylog.compacted(chosen).write.partitionBy("vid").mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def deletion_loop(queue: DataFrame, read_log: Callable[[], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
+    """Append tombstones for the chunks (vid, key) that a queue names, once each, to ``folder``/batch=<number>."""
+    from quern.operators import objects
+
+    def step(batch: DataFrame, number: int) -> None:
+        objects.tombstones(objects.delete(read_log(), batch)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return log.groupBy("vid", "key").applyInPandasWithState(latest, "vid bigint, key bigint, seq bigint, op string, size bigint", "last string", "update", GroupStateTimeout.NoTimeout)
+    return queue.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sessions(beats: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -136,3 +136,51 @@ def test_shards_and_information_files_are_found(spark, tmp_path):
     for r in logs.encode_volume_info(info).collect():
         (tmp_path / f"{r.vid}.vif").write_text(r.content)
     assert [tuple(r) for r in logs.volume_info(spark, str(tmp_path)).collect()] == [tuple(info.first())]
+
+
+def test_heartbeats_rewrite_the_parts_they_touch(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    beats = spark.readStream.schema("node bigint, ts bigint, vids array<bigint>").json(str(source))
+    send = lambda n, rows: (source / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("node", "ts", "vids"), r))) for r in rows))
+    run = lambda **k: heartbeats.follow(beats, str(out), str(tmp_path / "cp"), parts=4, **k).awaitTermination(120)
+    state = lambda: sorted(map(tuple, heartbeats.read_state(spark, str(out)).collect()))
+    send(1, [(n, 10, [n, n + 100]) for n in range(8)])
+    run()
+    for turn in range(2, 6):
+        send(turn, [(1, turn * 10, [turn]), (2, turn * 10, [])])
+        run()
+    want = sorted([(n, v) for n in (0, *range(3, 8)) for v in (n, n + 100)] + [(1, 5)])
+    assert state() == want
+    kept = [len(list(p.iterdir())) for p in (out / "state").iterdir() if p.name.startswith("part=")]
+    assert max(kept) <= 2
+    send(6, [(3, 60, [3])])
+    run(silent=15)  # all but 1 and 3 have been silent since 10
+    assert state() == [(1, 5), (3, 3)]
+    changes = spark.read.parquet(str(out / "changes")).where("batch = 5")
+    assert changes.where("change = 'deleted'").count() == 11
+
+
+def test_sessions_stream(spark, tmp_path):
+    rows = [(1, f"2024-01-01T00:{m:02d}:00Z") for m in (0, 10, 55)] + [(2, "2024-01-01T00:05:00Z"), (3, "2024-01-03T00:00:00Z")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"node": n, "ts": t}) for n, t in rows))
+    stream = spark.readStream.schema("node bigint, ts timestamp").json(str(tmp_path / "in"))
+    query = heartbeats.sessions(stream).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = sorted((r.node, r.beats) for r in spark.table("sessions").collect())
+    assert got == [(1, 1), (1, 2), (2, 1)]  # the last one isn't over yet
+
+
+def test_vacuum_and_deletion_loops(spark, tmp_path):
+    log = [(v, s % 4, s, "put", 10) for v in (1, 2) for s in range(12 if v == 1 else 4)]
+    df = spark.createDataFrame(log, "vid bigint, key bigint, seq bigint, op string, size bigint")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"vid": v, "key": k}) for v, k in [(1, 0), (1, 0), (2, 3), (2, 9)]))
+    queue = spark.readStream.schema("vid bigint, key bigint").json(str(tmp_path / "in"))
+    heartbeats.vacuum_loop(queue, lambda: df, str(tmp_path / "vacuum"), str(tmp_path / "cp1")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "vacuum"))
+    assert {(r.vid, r.key, r.seq) for r in got.collect()} == {(1, k, 8 + k) for k in range(4)}  # volume 2 has no garbage
+    heartbeats.deletion_loop(queue, lambda: df, str(tmp_path / "gone"), str(tmp_path / "cp2")).awaitTermination(120)
+    gone = spark.read.parquet(str(tmp_path / "gone"))
+    assert sorted((r.vid, r.key, r.seq, r.op) for r in gone.collect()) == [(1, 0, 12, "del"), (2, 3, 4, "del")]
