@@ -82,6 +82,50 @@ def ttl_code(text: Column) -> Column:
     return F.when(text == "", F.lit(0).cast("bigint")).when(count == 0, F.lit(0).cast("bigint")).when(count <= 255, count * 256 + code)
 
 
+def ttl_text(code: Column) -> Column:
+    """The text of a TTL's two bytes, '' for none; null where the unit is none of the format's."""
+    unit = reduce(lambda rest, x: F.when(code % 256 == x[1], F.lit(x[0])).otherwise(rest), TTL_CODES.items(), F.lit(None).cast("string"))
+    return F.when(code == 0, F.lit("")).otherwise(F.concat(F.floor(code / 256).cast("string"), unit))
+
+
+def replica_parts(text: Column) -> dict[str, Column]:
+    """Copies in other centres, in other racks and on other nodes of a placement of three digits, and its byte; null where it isn't one."""
+    ok = text.rlike("^[0-9]{3}$")
+    digit = lambda k: F.when(ok, F.substring(text, k, 1)).cast("bigint")
+    return {"centres": digit(1), "racks": digit(2), "nodes": digit(3), "byte": digit(1) * 100 + digit(2) * 10 + digit(3)}
+
+
+def replica_text(byte: Column) -> Column:
+    """The three digits of a placement's byte."""
+    return F.lpad(byte.cast("string"), 3, "0")
+
+
+def needs_copies(text: Column) -> Column:
+    """Whether a placement asks for more than one copy."""
+    return replica_copies(text) > 1
+
+
+def or_default(text: Column, default: str = "default") -> Column:
+    """A name, or the default where it is empty."""
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(default)).otherwise(text)
+
+
+def entry_time(mode: Column, crtime: Column, mtime: Column) -> Column:
+    """When an entry counts as written: directories when they were made, files when they were changed."""
+    return F.when(is_directory(mode), crtime).otherwise(mtime)
+
+
+def pairs_of(headers: Column, prefix: str) -> Column:
+    """The headers of an upload that are kept with the object: those with a prefix, in lower case."""
+    return F.map_filter(headers, lambda k, v: F.lower(k).startswith(prefix.lower()))
+
+
+def upload_type(ext: Column, posted: Column) -> Column:
+    """The type kept with an object: the posted one unless it says no more than the extension or only raw bytes."""
+    raw = F.coalesce(posted, F.lit("")).isin("", "application/octet-stream")
+    return F.when(raw | (posted == mime_type(ext)), F.nullif(mime_type(ext), F.lit("application/octet-stream"))).otherwise(posted)
+
+
 def replica_copies(text: Column) -> Column:
     """Copies that a placement of three digits (centres, racks, nodes) asks for; null where it isn't one."""
     ok = text.rlike("^[0-9]{3}$")

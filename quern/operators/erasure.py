@@ -181,6 +181,11 @@ def shards_by_node(held: DataFrame) -> DataFrame:
     return shard_bits(held, ["node", "vid"])
 
 
+def shard_list(shards: DataFrame) -> DataFrame:
+    """(vid, shards): the shards of each volume in order, each once."""
+    return shards.groupBy("vid").agg(F.array_join(F.transform(F.array_sort(F.collect_set("shard")), lambda s: s.cast("string")), ",").alias("shards"))
+
+
 def without(shards: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Shards (vid, shard) that stay when others are deleted, and the volumes that have none left, whose index and journal go too."""
     left = shards.join(gone.select("vid", "shard").distinct(), ["vid", "shard"], "left_anti")
@@ -246,6 +251,31 @@ def volume_pieces(blocks: DataFrame, large: int = LARGE, small: int = SMALL, spa
     return cut.where("offset < volume_size").select("vid", "offset", F.substring(F.col("block"), (F.col("within") + 1).cast("int"), length.cast("int")).alias("data"))
 
 
+def read_ranges(blocks: DataFrame, ranges: DataFrame, large: int = LARGE, small: int = SMALL, span: int = SMALL) -> DataFrame:
+    """(request, data): ranges (request, vid, volume_size, offset, size) read from coded blocks (vid, span, shard, block), some of them lost.
+
+    A stretch whose block is there is cut from it; for the others the spans they
+    lie in, and no more, are rebuilt from ten blocks. A range of which a span
+    can't be rebuilt gives no row.
+    """
+    cut = intervals(ranges.select("request", "vid", "volume_size", "offset", "size"), large, small)
+    inside = F.sequence(F.floor(F.col("shard_offset") / span), F.floor((F.col("shard_offset") + F.col("length") - 1) / span))
+    cut = cut.select("request", "vid", "size", "shard", "shard_offset", "length", "range_offset", F.explode(inside).alias("span"))
+    low, high = F.greatest(F.col("shard_offset"), F.col("span") * span), F.least(F.col("shard_offset") + F.col("length"), (F.col("span") + 1) * span)
+    need = cut.select("request", "vid", "size", "span", "shard", (F.col("range_offset") + low - F.col("shard_offset")).alias("at"), (low - F.col("span") * span).alias("from"), (high - low).alias("n"))
+    keyed = blocks.select("vid", "span", "shard", "block").dropDuplicates(["vid", "span", "shard"])
+    here = need.join(keyed, ["vid", "span", "shard"])
+    lost = need.join(keyed.select("vid", "span", "shard"), ["vid", "span", "shard"], "left_anti")
+    key = (F.col("vid") * (1 << 24) + F.col("span")).alias("key")  # a volume has fewer spans
+    whole = rebuild(keyed.join(lost.select("vid", "span").distinct(), ["vid", "span"], "left_semi").select(key, "shard", "block"))
+    again = whole.select(F.floor(F.col("key") / (1 << 24)).alias("vid"), (F.col("key") % (1 << 24)).alias("span"), "shard", "block")
+    both = here.unionByName(lost.join(again, ["vid", "span", "shard"]))
+    pieces = both.select("request", "size", F.struct("at", F.hex(F.substring(F.col("block"), (F.col("from") + 1).cast("int"), F.col("n").cast("int"))).alias("hex")).alias("p"))
+    whole = pieces.groupBy("request", "size").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    data = F.unhex(F.array_join(F.transform("p", lambda x: x["hex"]), ""))
+    return whole.select("request", "size", data.alias("data")).where(F.octet_length("data") == F.col("size")).select("request", "data")
+
+
 def lookup(shards: DataFrame, wanted: DataFrame) -> DataFrame:
     """Fourteen rows for each wanted volume: the nodes (in order) that hold each shard, '' where none does."""
     held = shards.groupBy("vid", "shard").agg(F.array_join(F.transform(F.array_sort(F.collect_set("node")), lambda n: n.cast("string")), ",").alias("nodes"))

@@ -73,3 +73,10 @@ def create(tree: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, D
     unused = new.select("path", F.explode(F.array_except("__chunks", "chunks")).alias("chunk"))
     rest = tree.join(fine.select("path"), "path", "left_anti")
     return rest.unionByName(made).unionByName(new.drop("__crtime", "__chunks")), conflicts, unused
+
+
+def served(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(path, action) of wanted paths: list a directory, answer that there is nothing or no content, pass one chunk on, or assemble several."""
+    own = wanted.select("path").distinct().join(tree.select("path", "is_directory", F.size("chunks").alias("__n")), "path", "left")
+    action = F.when((F.col("path") == "/") | F.col("is_directory"), "list").when(F.col("is_directory").isNull(), "not found").when(F.col("__n") == 0, "no content").when(F.col("__n") == 1, "pass on").otherwise("assemble")
+    return own.select("path", action.alias("action"))

@@ -157,6 +157,30 @@ def first_disk(volumes: DataFrame) -> DataFrame:
     return volumes.groupBy("vid").agg(F.min_by("disk", F.struct("pos", "disk")).alias("disk"))
 
 
+def created(volumes: DataFrame, wanted: DataFrame, disks: DataFrame) -> DataFrame:
+    """(vid, disk, status) of wanted volumes (vid): made on the disk (disk, free) with most room in turn, or 'exists', or 'no room'.
+
+    New volumes in the order of their ids take the free slots of the disks from
+    the freest on, slot by slot.
+    """
+    rows = wanted.select("vid").distinct().join(volumes.select("vid", F.lit(True).alias("__there")).distinct(), "vid", "left")
+    fresh = running_sum(rows.where("__there IS NULL").withColumn("one", F.lit(0)), ["one"], "vid", F.lit(1), "nth").select("vid", "nth")
+    # As many slots as free places: the first of every disk, then the second, the freest disk first.
+    slots = disks.where("free > 0").select("disk", F.explode(F.sequence(F.col("free"), F.lit(1).cast("bigint"), F.lit(-1).cast("bigint"))).alias("left"))
+    slots = slots.groupBy("left").agg(F.array_sort(F.collect_list("disk")).alias("disks"))
+    sized = slots.withColumn("n", F.size("disks").cast("bigint")).withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("left"))))
+    places = sized.select(F.posexplode("disks").alias("at", "disk"), "upto", "n").select((F.col("upto") - F.col("n") + F.col("at")).alias("nth"), "disk")
+    made = fresh.join(places, "nth", "left").select("vid", "disk", F.when(F.col("disk").isNull(), "no room").otherwise("created").alias("status"))
+    return made.unionByName(rows.where("__there").select("vid", F.lit(None).cast("bigint").alias("disk"), F.lit("exists").alias("status")))
+
+
+def destroyed(volumes: DataFrame, wanted: DataFrame, compacting: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(volumes that stay, wanted ones that are refused because they are being compacted)."""
+    busy = wanted.select("vid").distinct().join(compacting.select("vid").distinct(), "vid", "left_semi")
+    gone = wanted.select("vid").distinct().join(busy, "vid", "left_anti")
+    return volumes.join(gone, "vid", "left_anti"), busy
+
+
 def upserted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row of each key: a replica that reports again replaces what it said before."""
     rest = [c for c in rows.columns if c not in keys]
@@ -172,13 +196,15 @@ def growth(copies: Column) -> Column:
 VERSION = 2
 
 
-def layout(replicas: DataFrame, copies: int, limit: int) -> DataFrame:
+def layout(replicas: DataFrame, copies: int, limit: int, by: tuple[str, ...] = ("collection",)) -> DataFrame:
     """Of each volume: replicas, whether one is read-only or the volume is full, whether it may be written.
 
+    Volumes of different groups ``by``, such as collection, placement and TTL, are told apart.
+
     Where replicas tell their ``version``, only volumes of the present one are written.
     """
     current = F.bool_and(F.col("version") == VERSION) if "version" in replicas.columns else F.lit(True)
-    seen = replicas.groupBy("collection", "vid").agg(F.countDistinct("node").alias("replicas"), F.bool_or("read_only").alias("read_only"), F.max("size").alias("size"), current.alias("__current"))
+    seen = replicas.groupBy(*by, "vid").agg(F.countDistinct("node").alias("replicas"), F.bool_or("read_only").alias("read_only"), F.max("size").alias("size"), current.alias("__current"))
     seen = seen.withColumn("oversize", F.col("size") >= limit)
     return seen.withColumn("writable", (F.col("replicas") >= copies) & ~F.col("read_only") & ~F.col("oversize") & F.col("__current")).drop("__current")
 

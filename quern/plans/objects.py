@@ -333,3 +333,83 @@ _PLACED = f"""{LATEST}, sized AS (SELECT vid, key, seq, op, CASE WHEN op = 'put'
 def ec_index_restored(spark, sf_dir):
     log = ad.needle_log(spark, sf_dir)
     return erasure.index_of(keylog.sorted_index(log), log.where("key % 4 = 1")).withColumnRenamed("offset", "data_offset")
+
+
+@query("""WITH cut AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n, doc_id * 37 % 500 AS s FROM documents WHERE octet_length(encode(text)) > 0)
+SELECT doc_id AS request, least(700, n - s) AS bytes, sha256(lower(substr(h, 2 * s + 1, 2 * least(700, n - s)))) AS digest FROM cut WHERE s < n""")
+def ec_range_read(spark, sf_dir):
+    """A range of every volume, read from coded blocks of which four shards are lost."""
+    docs = ad.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vid"), F.col("text").cast("binary").alias("data"), F.octet_length(F.col("text").cast("binary")).cast("bigint").alias("volume_size"), F.lit(0).cast("bigint").alias("offset"))
+    sizes = {"large": 1024, "small": 128, "span": 2048}
+    left = erasure.encode_volumes(docs.where("volume_size > 0"), **sizes).where("pmod(shard * 5 + vid * 3, 14) >= 4")
+    start = F.col("vid") * 37 % 500
+    asked = docs.select(F.col("vid").alias("request"), "vid", "volume_size", start.alias("offset"), F.least(F.lit(700).cast("bigint"), F.col("volume_size") - start).alias("size")).where("size > 0")
+    found = erasure.read_ranges(left, asked, **sizes)
+    return found.select("request", F.octet_length("data").cast("bigint").alias("bytes"), F.sha2(F.lower(F.hex("data")), 256).alias("digest"))
+
+
+# --- more codecs and catalogues ------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') AS placement, p_partkey % 1000 // 100 AS centres, p_partkey % 100 // 10 AS racks, p_partkey % 10 AS nodes, p_partkey % 1000 AS byte, p_partkey % 1000 <> 0 AS copied,
+CASE WHEN p_size % 6 = 0 THEN '' ELSE p_size || ['m', 'h', 'd', 'w', 'M'][p_size % 6] END AS ttl, CASE WHEN p_size % 4 = 0 THEN 'default' ELSE p_brand END AS collection, CASE WHEN p_size % 3 = 0 THEN p_partkey ELSE p_partkey + 7 END AS written,
+p_size % 5 = 0 AS tombstone, p_size % 4 = 3 AS gzipped, CASE WHEN p_size % 2 = 0 THEN '/a/' || p_size ELSE '/' END AS path, CASE WHEN p_size % 3 = 0 THEN 'text/html' WHEN p_size % 3 = 1 THEN 'image/x-own' END AS mime FROM part""")
+def codec_formats(spark, sf_dir):
+    size, key = F.col("p_size").cast("bigint"), F.col("p_partkey")
+    parts = codecs.replica_parts(F.col("placement"))
+    rows = ad.table(spark, sf_dir, "part").withColumn("placement", codecs.replica_text(key % 1000))
+    code = F.when(size % 6 == 0, 0).otherwise(size * 256 + size % 6)
+    ext, posted = F.when(size % 3 == 0, "html").otherwise("bin"), F.when(size % 3 == 1, "image/x-own").when(size % 3 == 2, "application/octet-stream")
+    return rows.select(
+        "p_partkey",
+        "placement",
+        *(c.alias(n) for n, c in parts.items()),
+        codecs.needs_copies(F.col("placement")).alias("copied"),
+        codecs.ttl_text(code).alias("ttl"),
+        codecs.or_default(F.when(size % 4 == 0, "").otherwise(F.col("p_brand"))).alias("collection"),
+        codecs.entry_time(F.when(size % 3 == 0, F.lit((1 << 31) + 0o770)).otherwise(F.lit(0o660)), key, key + 7).alias("written"),
+        codecs.is_tombstone(F.when(size % 5 == 0, -1).otherwise(size)).alias("tombstone"),
+        codecs.has_flag((size % 4 + 4).cast("int"), "gzip").alias("__odd"),
+        codecs.has_flag(F.when(size % 4 == 3, 5).otherwise(4), "gzip").alias("gzipped"),
+        codecs.trim_slash(F.when(size % 2 == 0, F.concat(F.lit("/a/"), size.cast("string"), F.lit("/"))).otherwise("/")).alias("path"),
+        codecs.upload_type(ext, posted).alias("mime"),
+    ).drop("__odd")
+
+
+@query(f"""{USAGE}, wanted AS (SELECT DISTINCT o_custkey * 3 % 4000 AS vid FROM orders), have AS (SELECT DISTINCT c_custkey AS vid FROM customer), fresh AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS nth FROM wanted WHERE vid NOT IN (SELECT vid FROM have)),
+places AS (SELECT node, row_number() OVER (ORDER BY k DESC, node) - 1 AS nth FROM (SELECT node, unnest(range(1, free + 1)) AS k FROM usage WHERE free > 0))
+SELECT f.vid, p.node AS disk, CASE WHEN p.node IS NULL THEN 'no room' ELSE 'created' END AS status FROM fresh f LEFT JOIN places p USING (nth) UNION ALL SELECT vid, NULL, 'exists' FROM wanted WHERE vid IN (SELECT vid FROM have)""")
+def volume_create(spark, sf_dir):
+    wanted = ad.table(spark, sf_dir, "orders").select((F.col("o_custkey") * 3 % 4000).alias("vid"))
+    have = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vid"))
+    return topology.created(have, wanted, _usage(spark, sf_dir).select(F.col("node").alias("disk"), "free"))
+
+
+@query("""WITH have AS (SELECT c_custkey AS vid FROM customer), wanted AS (SELECT DISTINCT o_custkey AS vid FROM orders), busy AS (SELECT vid FROM wanted WHERE vid % 4 = 1)
+SELECT vid, 'stays' AS kind FROM have WHERE vid NOT IN (SELECT vid FROM wanted) OR vid IN (SELECT vid FROM busy) UNION ALL SELECT vid, 'refused' FROM busy""")
+def volume_destroy(spark, sf_dir):
+    have = ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("vid"))
+    wanted = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("vid"))
+    rest, refused = topology.destroyed(have, wanted, have.where("vid % 4 = 1").union(wanted.where("vid % 4 = 1")))
+    return rest.select("vid", F.lit("stays").alias("kind")).unionByName(refused.select("vid", F.lit("refused").alias("kind")))
+
+
+@query(f"WITH {_PUT}, asked AS (SELECT path FROM old UNION SELECT path FROM newp UNION SELECT '/'), n AS (SELECT path, id % 3 AS k FROM old) SELECT a.path, CASE WHEN a.path = '/' THEN 'list' WHEN k IS NULL THEN 'not found' WHEN k = 0 THEN 'no content' WHEN k = 1 THEN 'pass on' ELSE 'assemble' END AS action FROM asked a LEFT JOIN n USING (path)")
+def namespace_serve(spark, sf_dir):
+    old, new = _put_entries(spark, sf_dir)
+    tree = old.withColumn("chunks", F.slice("chunks", F.lit(1), (F.col("mtime") % 3).cast("int")))
+    asked = old.select("path").union(new.select("path")).union(spark.createDataFrame([("/",)], "path string"))
+    return namespace.served(tree, asked)
+
+
+@query(f"WITH {ad.REPLICAS}, kinds AS (SELECT *, vid % 3 AS ttl FROM replicas) SELECT collection, ttl, vid, count(DISTINCT node) AS replicas, bool_or(read_only) AS read_only, max(size) AS size, max(size) >= 9000 AS oversize, count(DISTINCT node) >= 2 AND NOT bool_or(read_only) AND max(size) < 9000 AND vid % 7 <> 2 AS writable FROM kinds GROUP BY collection, ttl, vid")
+def layout_by_ttl(spark, sf_dir):
+    """Layouts of each collection and TTL; volumes of an older version are not written."""
+    held = ad.replicas(spark, sf_dir).withColumn("ttl", F.col("vid") % 3).withColumn("version", F.when(F.col("vid") % 7 == 2, 1).otherwise(topology.VERSION))
+    return topology.layout(held, copies=2, limit=9000, by=("collection", "ttl"))
+
+
+@query(f"WITH {ad.shards_sql('now')} SELECT vid, array_to_string(list_sort(list_distinct(list(shard))), ',') AS shards FROM now GROUP BY vid")
+def ec_shard_list(spark, sf_dir):
+    rows = ad.shards(spark, sf_dir)
+    return erasure.shard_list(rows.unionByName(rows.where("vid % 2 = 0")))
