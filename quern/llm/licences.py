@@ -76,6 +76,8 @@ def parts(phrases: dict[str, str], templates: list[tuple[str, str]]) -> list[tup
         out += [(label, False, own[len(own) * i // n : len(own) * (i + 1) // n]) for i in range(n)]
     if any(len(x[2]) < K for x in out):
         raise ValueError(f"a template needs {K} words at least")
+    if any(len(x[2]) > PART_WORDS for x in out):
+        raise ValueError(f"a phrase has {PART_WORDS} words at most")
     return [(i, *x) for i, x in enumerate(out)]
 
 

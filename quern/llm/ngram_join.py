@@ -65,7 +65,8 @@ def shared_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, n_shingles, set_key, grams), one row per input row.
 
     ``grams`` holds the codes of the shared n-grams, rarest first, of documents
-    that may have a partner, else null; ``set_key`` is equal for equal sets.
+    that may have a partner, else null; ``set_key``, 128 bits made of the n-grams' hashes,
+    and ``n_shingles`` are equal for equal sets and stand for them.
     """
     batches, n = exchange.batched(docs, id_col, text_col)
     bits = exchange.part_bits(n)
@@ -85,13 +86,15 @@ def shared_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         had = np.concatenate([[0], np.cumsum(shared)])
         common = had[places[1:]] - had[places[:-1]]
         codes = (np.minimum(np.log2(np.maximum(df, 1)).astype(np.uint64), _U(31)) << _U(CODE_BITS)) | (values >> _U(64 - CODE_BITS))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textcode.mix(values ^ _U(0x5BD1E995)))])
-        keys_of_sets = (sums[places[1:]] - sums[places[:-1]]).view(np.int64)
+        # Two sums of hashes, 128 bits, tell a set.
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(textcode.mix(values ^ _U(salt)))]) for salt in (0x5BD1E995, 0x9E3779B97F4A7C15)]
+        pairs = np.column_stack([x[places[1:]] - x[places[:-1]] for x in sums])
+        keys_of_sets = [row.tobytes() for row in pairs]
         grams = [np.sort(codes[a:b][shared[a:b]]).view(np.int64) if m and 100 * m >= PERCENT * s else None for a, b, m, s in zip(places[:-1], places[1:], common, sizes)]
-        return pa.table({"doc_id": table.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys_of_sets, pa.int64()), "grams": pa.array(grams, pa.list_(pa.int64()))})
+        return pa.table({"doc_id": table.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys_of_sets, pa.binary()), "grams": pa.array(grams, pa.list_(pa.int64()))})
 
     answers = exchange.tell(batches, n, keys_of, KEY_BITS)
-    return exchange.joined(batches, answers, finish, "doc_id bigint, n_shingles bigint, set_key bigint, grams array<bigint>")
+    return exchange.joined(batches, answers, finish, "doc_id bigint, n_shingles bigint, set_key binary, grams array<bigint>")
 
 
 def _blocks(reps: DataFrame) -> DataFrame:

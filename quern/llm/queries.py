@@ -48,6 +48,19 @@ def op6_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+OP6_SQL = """
+WITH bodies AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM bodies WHERE n >= 50)),
+gone AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first_id FROM strings) WHERE first_id < doc_id),
+marked AS (SELECT *, coalesce(p > lag(p) OVER w + 50, true) AS fresh FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, min(p) AS lo, max(p) + 50 AS hi FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked) GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS start FROM runs),
+cut AS (SELECT b.doc_id, string_agg(substr(h, 2 * start + 1, 2 * (lo - start)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept, sum(hi - lo) AS removed, count(*) AS n_spans FROM pieces p JOIN bodies b ON b.doc_id = p.doc_id GROUP BY b.doc_id)
+SELECT b.doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM bodies b LEFT JOIN cut c ON c.doc_id = b.doc_id
+"""
+
+
 def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
@@ -109,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_content_sort": OP3_SQL,
+    "op6_two_stage_suffixes": OP6_SQL,
     "op9_prefix_trie": OP9_SQL,
     "op10_warc_normalise": OP10_SQL,
 }
