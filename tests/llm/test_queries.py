@@ -44,3 +44,13 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     folder = write(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_toxicity_on_held_out_labels(spark):
+    """Recall and precision at the threshold on labels that were never learned from."""
+    sf = "/root/testdata/sf0.1"
+    found = queries.QUERIES["op7_crf_toxicity"](spark, sf).where("held_out").select("doc_id", "predicted")
+    rows = found.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in rows}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9
+    assert n[1, 1] / (n[1, 1] + n.get((0, 1), 0)) >= 0.9

@@ -381,3 +381,23 @@ def test_revisits_of_a_payload_that_most_pages_have(spark, monkeypatch, broadcas
     rows = [(i, "u", "same " * 40 if i % 3 else f"page {i} " * 30) for i in range(200)] + [(i, "u", "") for i in range(200, 240)] + [(1, "u", "same " * 40)]
     got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()
     assert Counter((r.record_type, r.refers_to) for r in got) == {("response", None): 67 + 40 + 2, ("revisit", 1): 132}
+
+
+def test_edited_licenses_keep_their_label(spark):
+    """One word in twelve is changed, dropped or put in; templates of ten words and less must match in full."""
+    import random
+
+    rng, rows, want = random.Random(4), [], {}
+    long = [(label, text.split()) for label, text in licences.TEMPLATES if len(licences.words(text)) > licences.SHORT_WORDS]
+    for n in range(300):
+        label, own = long[n % len(long)]
+        own = list(own)
+        for _ in range(max(1, len(own) // 12)):
+            at = rng.randrange(1, len(own) - 1)
+            own[at : at + 1] = rng.choice([["changed"], [], [own[at], "added"]])
+        rows.append((n, f"Some words before it. {' '.join(own)} And more of it after."))
+        want[n] = label
+    got = {r.doc_id: r.labels.split(",") for r in licences.scan(frame(spark, rows)).collect()}
+    assert sum(want[n] in got[n] for n in want) >= 0.9 * len(want)
+    clean = [(n, " ".join(rng.choice("this work is licensed under no such terms as the software may have".split()) for _ in range(40))) for n in range(200)]
+    assert sum(bool(r.labels) for r in licences.scan(frame(spark, clean)).collect()) <= 2
