@@ -122,6 +122,19 @@ def sorted_index(log: DataFrame) -> DataFrame:
     return newest.select("vid", "key", "x.offset", "x.size").repartitionByRange("vid", "key").sortWithinPartitions("vid", "key")
 
 
+def status(log: DataFrame) -> DataFrame:
+    """The counters of each volume, with the bytes of its data log."""
+    size = F.when(F.col("op") == "put", F.col("size")).otherwise(0)
+    ends = log.groupBy("vid").agg((F.sum(codecs.actual_size(size)) + codecs.SUPER_BLOCK_BYTES).alias("data_bytes"))
+    return metrics(log).join(ends, "vid")
+
+
+def journalled(index: DataFrame, journal: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(vid, key): the journal rows that deleting wanted keys from a sorted index adds: those that it has and that aren't deleted yet."""
+    known = wanted.select("vid", "key").distinct().join(index.select("vid", "key"), ["vid", "key"], "left_semi")
+    return known.join(journal.select("vid", "key"), ["vid", "key"], "left_anti")
+
+
 def violations(placed: DataFrame, data_ends: DataFrame) -> DataFrame:
     """Index rows (vid, key, offset, size) that reach beyond the end (vid, data_end) of their volume's data log, or whose volume has none."""
     end = F.col("offset") + codecs.actual_size(F.greatest("size", F.lit(0)))

@@ -232,6 +232,21 @@ def spread(vid: Column, seed: int | Column) -> Column:
     return F.pmod(vid * 7919 + seed * 104729, F.lit(1_000_003))
 
 
+def lookup(replicas: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(vid, collection, nodes) of wanted volumes (vid, collection): within a collection, or in any where it is ''; null where it is unknown."""
+    asked = wanted.select("vid", "collection").distinct()
+    same = (F.col("vid") == F.col("__vid")) & ((F.col("collection") == "") | (F.col("collection") == F.col("__collection")))
+    both = asked.join(replicas.select(F.col("vid").alias("__vid"), F.col("collection").alias("__collection"), "node"), same, "left")
+    nodes = F.array_join(F.transform(F.array_sort(F.collect_set("node")), lambda n: n.cast("string")), ",")
+    return both.groupBy("vid", "collection").agg(nodes.alias("nodes")).withColumn("nodes", F.nullif(F.col("nodes"), F.lit("")))
+
+
+def pick_replica(candidates: DataFrame, by: list[str], seed: int) -> DataFrame:
+    """One writable volume of each group, such as a centre, and the first of its replicas (vid, node) there."""
+    order = F.struct(spread(F.col("vid"), seed), F.col("vid"), F.col("node"))
+    return candidates.groupBy(*by).agg(F.min_by(F.struct("vid", "node"), order).alias("x")).select(*by, "x.vid", "x.node")
+
+
 def pick(candidates: DataFrame, by: list[str], seed: int) -> DataFrame:
     """One writable volume of each group, chosen by ``spread``."""
     return candidates.groupBy(*by).agg(F.min_by("vid", F.struct(spread(F.col("vid"), seed), F.col("vid"))).alias("vid"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import codecs
 from quern.operators import erasure, keylog, namespace, objects, topology
 from quern.plans import adapters as ad
-from quern.plans.catalogue import _HELD, _SNAPSHOTS, _TTL, LATEST, LAYOUT, USAGE, _held, _snapshots, _usage, query
+from quern.plans.catalogue import _HELD, _SNAPSHOTS, _TTL, LATEST, LAYOUT, METRICS, USAGE, _held, _snapshots, _usage, query
 
 # --- objects -------------------------------------------------------------------------------------------------------
 
@@ -413,3 +413,29 @@ def layout_by_ttl(spark, sf_dir):
 def ec_shard_list(spark, sf_dir):
     rows = ad.shards(spark, sf_dir)
     return erasure.shard_list(rows.unionByName(rows.where("vid % 2 = 0")))
+
+
+@query(f"WITH {ad.REPLICAS}, asked AS (SELECT DISTINCT o_custkey * 2 AS vid, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'BUILDING' END AS collection FROM orders) SELECT a.vid, a.collection, nullif(array_to_string(list_sort(list_distinct(list(node))), ','), '') AS nodes FROM asked a LEFT JOIN replicas r ON r.vid = a.vid AND (a.collection = '' OR a.collection = r.collection) GROUP BY a.vid, a.collection")
+def collection_lookup(spark, sf_dir):
+    asked = ad.table(spark, sf_dir, "orders").select((F.col("o_custkey") * 2).alias("vid"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise("BUILDING").alias("collection"))
+    return topology.lookup(ad.replicas(spark, sf_dir), asked)
+
+
+@query(f"{LAYOUT}, nodes AS (SELECT r_name AS dc, s_suppkey AS node FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), c AS (SELECT l.collection, dc, l.vid, r.node FROM layout l JOIN replicas r ON r.vid = l.vid AND r.collection = l.collection JOIN nodes n ON n.node = r.node WHERE writable) SELECT collection, dc, arg_min(vid, ((vid * 7919 + 9 * 104729) % 1000003) * 1000000000000 + vid * 1000000 + node) AS vid, arg_min(node, ((vid * 7919 + 9 * 104729) % 1000003) * 1000000000000 + vid * 1000000 + node) AS node FROM c GROUP BY collection, dc")
+def pick_in_centre(spark, sf_dir):
+    held = ad.replicas(spark, sf_dir)
+    able = topology.layout(held, copies=2, limit=9000).where("writable").select("collection", "vid")
+    placed = held.select("collection", "vid", "node").join(able, ["collection", "vid"], "left_semi").join(ad.nodes(spark, sf_dir).select("dc", "node"), "node")
+    return topology.pick_replica(placed, ["collection", "dc"], seed=9)
+
+
+@query(f"{METRICS}, ends AS (SELECT vid, CAST(8 + sum(size + 28 - (size + 20) % 8) AS BIGINT) AS data_bytes FROM (SELECT vid, CASE WHEN op = 'put' THEN size ELSE 0 END AS size FROM needle_log) GROUP BY vid) SELECT m.*, data_bytes FROM metrics m JOIN ends USING (vid)")
+def volume_status(spark, sf_dir):
+    return keylog.status(ad.needle_log(spark, sf_dir))
+
+
+@query(f"{LATEST} SELECT DISTINCT o_custkey % 16 AS vid, o_custkey AS key FROM orders WHERE o_custkey % 4 <> 1 AND (o_custkey % 16, o_custkey) IN (SELECT (vid, key) FROM latest WHERE op = 'put')")
+def ec_blob_delete(spark, sf_dir):
+    log = ad.needle_log(spark, sf_dir)
+    wanted = ad.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 16).alias("vid"), F.col("o_custkey").alias("key"))
+    return keylog.journalled(keylog.live(log), log.where("key % 4 = 1"), wanted)
