@@ -165,14 +165,22 @@ def _fit_chain(x: np.ndarray, y: np.ndarray, n_features: int, lengths: np.ndarra
     return theta[:n_features], float(theta[n_features]), theta[n_features + 1 :].reshape(2, 2)
 
 
+def _sample_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(features, places) of all words of a sample, made a chunk at a time, as hashing takes many times the bytes of a text."""
+    parts = [word_features(texts.slice(a, b - a))[:2] for a, b in textcode.chunks(texts)]
+    places = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p) for _, p in parts]))])
+    return np.concatenate([f for f, _ in parts]), places.astype(np.int64)
+
+
 def fit(texts: list[str], toxic: list[int], share: float) -> Model | None:
     """The model of a labelled sample; ``share``: toxic rows among all training rows. None without both classes."""
     labels = np.array(toxic)
     if not len(labels) or labels.min() == labels.max():
         return None
-    features, places, _, _ = word_features(pa.array(texts, pa.string()))
+    features, places = _sample_features(pa.array(texts, pa.string()))
     docs = [np.unique(features[a:b]) for a, b in zip(places[:-1], places[1:])]
     seeds = _cover(docs, labels)
+    del docs
     of_doc = np.repeat(np.arange(len(texts)), np.diff(places))
     state = (np.isin(features, seeds).any(axis=1) & (labels[of_doc] == 1)).astype(int)
     kinds, counts = np.unique(features[state == 1], return_counts=True)
@@ -181,7 +189,8 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Model | None:
         return None
     at = np.searchsorted(kinds, features)
     at[at == len(kinds)] = 0
-    number = np.where(kinds[at] == features, at, len(kinds))
+    number = np.where(kinds[at] == features, at, len(kinds)).astype(np.int32)
+    del at
     # Segments of a document; those of ordinary words only are all alike and kept once with their count.
     segments: list[tuple[int, int]] = [(a, min(a + SEGMENT, e)) for s, e in zip(places[:-1], places[1:]) for a in range(s, e, SEGMENT)]
     marked = np.concatenate([[0], np.cumsum((number < len(kinds)).any(axis=1) | (state == 1))])
@@ -192,7 +201,7 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Model | None:
             plain[b - a] = plain.get(b - a, 0) + 1
         else:
             rows.append((a, b))
-    x = np.full((len(rows) + len(plain), SEGMENT, features.shape[1]), len(kinds))
+    x = np.full((len(rows) + len(plain), SEGMENT, features.shape[1]), len(kinds), np.int32)
     y = np.zeros((len(x), SEGMENT), int)
     lengths, weight = np.array([b - a for a, b in rows] + [*plain]), np.array([1.0] * len(rows) + [*map(float, plain.values())])
     for i, (a, b) in enumerate(rows):
