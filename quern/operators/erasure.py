@@ -108,9 +108,26 @@ def coding_matrix() -> np.ndarray:
     return np.array([[np.bitwise_xor.reduce(multiply(row, top[:, c])) for c in range(DATA)] for row in vander], np.uint8)
 
 
+@lru_cache(maxsize=1)
+def _products() -> np.ndarray:
+    """Products of all pairs of bytes, a row for each factor."""
+    return np.array([multiply(np.full(256, m), np.arange(256)) for m in range(256)], np.uint8)
+
+
+@lru_cache(maxsize=1024)
+def _from_rows(rows: tuple[int, ...]) -> np.ndarray:
+    """What turns the blocks of ten shards into those of the data shards."""
+    return invert(coding_matrix()[list(rows)])
+
+
 def combine(matrix: np.ndarray, blocks: np.ndarray) -> np.ndarray:
     """Product of a matrix and blocks of bytes, (rows, n) @ (n, width)."""
-    return np.array([np.bitwise_xor.reduce([multiply(b, m) for m, b in zip(row, blocks)]) for row in matrix], np.uint8)
+    out, table = np.zeros((len(matrix), blocks.shape[1]), np.uint8), _products()
+    for total, row in zip(out, matrix):
+        for m, block in zip(row, blocks):
+            if m:
+                total ^= block if m == 1 else table[m][block]
+    return out
 
 
 def encode(stripes: DataFrame) -> DataFrame:
@@ -141,7 +158,7 @@ def rebuild(shards: DataFrame) -> DataFrame:
             return None
         rows = sorted(have)[:DATA]
         blocks = np.stack([np.frombuffer(have[r], np.uint8) for r in rows])
-        data = combine(invert(coding_matrix()[rows]), blocks)
+        data = combine(_from_rows(tuple(rows)), blocks)
         every = np.concatenate([data, combine(coding_matrix()[DATA:], data)])
         return pd.DataFrame({"key": key, "shard": range(TOTAL), "block": [b.tobytes() for b in every]})
 
