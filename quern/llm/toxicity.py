@@ -165,6 +165,13 @@ def _fit_chain(x: np.ndarray, y: np.ndarray, n_features: int, lengths: np.ndarra
     return theta[:n_features], float(theta[n_features]), theta[n_features + 1 :].reshape(2, 2)
 
 
+def _among(kinds: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each feature among sorted ``kinds``, and whether it is there."""
+    at = np.searchsorted(kinds, column)
+    at[at == len(kinds)] = 0
+    return at, kinds[at] == column if len(kinds) else np.zeros(len(column), bool)
+
+
 def _sample_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(features, places) of all words of a sample, made a chunk at a time, as hashing takes many times the bytes of a text."""
     parts = [word_features(texts.slice(a, b - a))[:2] for a, b in textcode.chunks(texts)]
@@ -182,15 +189,19 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Model | None:
     seeds = _cover(docs, labels)
     del docs
     of_doc = np.repeat(np.arange(len(texts)), np.diff(places))
-    state = (np.isin(features, seeds).any(axis=1) & (labels[of_doc] == 1)).astype(int)
+    # A column at a time, so that no copy of all features is made.
+    seeded = np.zeros(len(features), bool)
+    for column in features.T:
+        seeded |= _among(np.sort(seeds), column)[1]
+    state = (seeded & (labels[of_doc] == 1)).astype(int)
     kinds, counts = np.unique(features[state == 1], return_counts=True)
     kinds = kinds[(counts >= 2) & (kinds != 0)]
     if not len(kinds):
         return None
-    at = np.searchsorted(kinds, features)
-    at[at == len(kinds)] = 0
-    number = np.where(kinds[at] == features, at, len(kinds)).astype(np.int32)
-    del at
+    number = np.full(features.shape, len(kinds), np.int32)
+    for k, column in enumerate(features.T):
+        at, hit = _among(kinds, column)
+        number[hit, k] = at[hit]
     # Segments of a document; those of ordinary words only are all alike and kept once with their count.
     segments: list[tuple[int, int]] = [(a, min(a + SEGMENT, e)) for s, e in zip(places[:-1], places[1:]) for a in range(s, e, SEGMENT)]
     marked = np.concatenate([[0], np.cumsum((number < len(kinds)).any(axis=1) | (state == 1))])
@@ -237,11 +248,12 @@ def marginals(model: Model, features: np.ndarray, places: np.ndarray) -> Iterato
     backward steps over them are one product with a power of their matrix.
     """
     gaps, moves = model.gaps(), np.exp(model.trans)
-    at = np.searchsorted(model.features, features)
-    at[at == len(model.features)] = 0
-    found = model.features[at] == features
-    scores = np.where(found, model.weights[at], 0.0).sum(axis=1)
-    marked = np.flatnonzero(found.any(axis=1))
+    scores, any_found = np.zeros(len(features)), np.zeros(len(features), bool)
+    for column in features.T:
+        at, hit = _among(model.features, column)
+        scores[hit] += model.weights[at[hit]]
+        any_found |= hit
+    marked = np.flatnonzero(any_found)
     emits = np.exp(np.clip(scores[marked] + model.bias, -30, 30))
     bounds = np.searchsorted(marked, places)
     for i in range(len(places) - 1):
